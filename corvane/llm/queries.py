@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, leak, radix
+from corvane.llm import bpe, leak, overlap, radix
 from corvane.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.collapse(load(spark, sf_dir, "gold"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(load(spark, sf_dir, "gold"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(load(spark, sf_dir, "gold"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.mark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p5_found, p5_collapsed, p7_ids, p8_found, p8_cleaned)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
 SQL: dict[str, str] = {}
