@@ -15,6 +15,7 @@ _BARE_PROPERTY = re.compile(r"[∃∀]\s*[^\W_]\w*$")
 _LAST_NAME = re.compile(r"[^\W_]\w*$")
 _CLOSED = re.compile(r"([^\W\d_]\w*)(?=\s*[⊓⊔⊑)])")
 _TYPED = re.compile(r"([^\W\d_]\w*)(?=\[)")
+_STEM = re.compile(r"(?:[^\n]{0,40}[:!]\s+)?([A-ZÀ-ÖØ-Þ]\w*)")
 _CAMEL = re.compile(r"[^\W\d_][^\W\d_A-ZÀ-ÖØ-Þ]*")
 
 
@@ -44,13 +45,17 @@ def trimmed(text: str) -> str:
 def ending(text: str | None) -> tuple[str, str]:
     """(state, name) of an answer.
 
-    state: '' no formula at all; 'cut' the text carries a mark of a cut or leaves something open, so its end is lost;
+    state: '' no formula at all; 'stem' a single capitalised name, behind a remark or not, which may be all that is left of
+    a formula; 'cut' the text carries a mark of a cut or leaves something open, so its end is lost;
     'name' nothing is open and the last thing is the name given, which may be whole or not; 'whole' nothing is open and
     the end is a bracket or a quoted string. A full stop or closing brackets too many at the end open nothing.
     """
-    if not text or not _SYMBOL.search(text):
+    if not text:
         return "", ""
     text = text.rstrip()
+    if not _SYMBOL.search(text):
+        stem = _STEM.fullmatch(trimmed(text)) if len(text) < 120 else None
+        return ("stem", stem[1]) if stem else ("", "")
     bare = outside_strings(text)
     if not _SYMBOL.search(bare):
         return "", ""

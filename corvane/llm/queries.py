@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, leak, overlap, radix, truncation
+from corvane.llm import bpe, leak, overlap, pairs, radix, truncation
 from corvane.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(load(spark, sf_dir, "gold"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.report(load(spark, sf_dir, "gold"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.found(load(spark, sf_dir, "gold"))
 
@@ -48,5 +56,5 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.mark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_report, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
 SQL: dict[str, str] = {}
