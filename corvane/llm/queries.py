@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, leak, overlap, pairs, radix, truncation
+from corvane.llm import bpe, leak, neighbours, overlap, pairs, radix, truncation
 from corvane.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(load(spark, sf_dir, "gold"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.pairs(load(spark, sf_dir, "req_vectors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.find_copies(load(spark, sf_dir, "gold"))
 
@@ -56,5 +60,5 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.mark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p4_found, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
 SQL: dict[str, str] = {}
