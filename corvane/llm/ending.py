@@ -11,10 +11,8 @@ SUBSUMPTION = re.compile("[⊑⊒≡]|->|=>|<=")
 
 _SYMBOL = re.compile("[⊑⊒⊓⊔∃∀]")
 _STRING = re.compile(r'"[^"]*"')
-_BARE_PROPERTY = re.compile(r"[∃∀]\s*[^\W_]\w*$")
-_LAST_NAME = re.compile(r"[^\W_]\w*$")
-_CLOSED = re.compile(r"([^\W\d_]\w*)(?=\s*[⊓⊔⊑)])")
-_TYPED = re.compile(r"([^\W\d_]\w*)(?=\[)")
+_CLOSED = re.compile(r"\b[^\W\d_]\w*+(?=\s*[⊓⊔⊑)])")
+_TYPED = re.compile(r"\b[^\W\d_]\w*+(?=\[)")
 _STEM = re.compile(r"(?:[^\n]{0,40}[:!]\s+)?([A-ZÀ-ÖØ-Þ]\w*)")
 _CAMEL = re.compile(r"[^\W\d_][^\W\d_A-ZÀ-ÖØ-Þ]*")
 
@@ -42,6 +40,20 @@ def trimmed(text: str) -> str:
     return text
 
 
+def _last_name(text: str) -> str:
+    """The letters, digits and underscores at the end."""
+    at = len(text)
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return text[at:]
+
+
+def _bare_property(text: str) -> bool:
+    """Does the text end with a quantifier and a name, so that a filler is missing?"""
+    name = _last_name(text)
+    return bool(name) and text[: -len(name)].rstrip().endswith(("∃", "∀"))
+
+
 def ending(text: str | None) -> tuple[str, str]:
     """(state, name) of an answer.
 
@@ -64,12 +76,12 @@ def ending(text: str | None) -> tuple[str, str]:
     last = bare[bare.rfind("|") + 1 :].strip()
     if last.count("(") > last.count(")") or last.count("[") > last.count("]"):
         return "cut", ""
-    if last.endswith(".") and not _BARE_PROPERTY.search(last[:-1].rstrip()):
+    if last.endswith(".") and not _bare_property(last[:-1].rstrip()):
         last = last[:-1].rstrip()
-    if not last or last[-1] in UNFINISHED or _BARE_PROPERTY.search(last) or not SUBSUMPTION.search(last):
+    if not last or last[-1] in UNFINISHED or _bare_property(last) or not SUBSUMPTION.search(last):
         return "cut", ""
-    name = _LAST_NAME.search(last)
-    return ("name", name[0]) if name else ("whole", "")
+    name = _last_name(last)
+    return ("name", name) if name else ("whole", "")
 
 
 def closed_names(text: str | None) -> list[str]:
