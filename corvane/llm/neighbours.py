@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut
+from corvane.session import bounded_sample, cut
 
 DIM = 64
 K = 5
@@ -194,7 +194,7 @@ def nearest_classes(classes: DataFrame, k: int = K, part_rows: int = PART_ROWS,
     """``id, near``: for each id of ``classes`` (id, vec; vectors all different) its k nearest other ids, nearest first."""
     spark = classes.sparkSession
     n = classes.count()
-    some = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()
+    some = bounded_sample(classes.select("id", "vec"), ["id"], sample).select("vec").toArrow()
     if some.num_rows == 0:
         return classes.select("id", F.array().cast("array<bigint>").alias("near"))
     x = _matrix(some.column("vec"))

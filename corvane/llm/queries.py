@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, leak, neighbours, overlap, pairs, radix, truncation
+from corvane.llm import bpe, leak, neighbours, overlap, pairs, pii, radix, truncation
 from corvane.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,17 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.mark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p4_found, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned)}
+def _tagger(spark: SparkSession, sf_dir: str) -> pii.Tagger | None:
+    return pii.trained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "given_names"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(load(spark, sf_dir, "documents"), _tagger(spark, sf_dir))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(load(spark, sf_dir, "documents"), _tagger(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p4_found, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned, p9_found, p9_redacted)}
 SQL: dict[str, str] = {}
