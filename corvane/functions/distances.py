@@ -136,7 +136,20 @@ def changed_parts_of(predicted: str, gold: str, axiom_symbol: str = "⊑") -> fl
 changed_parts = _pairwise(T.DoubleType(), changed_parts_of)
 
 
+def _trim(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """Without what both begin and end with, which costs nothing."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    return (a[:-k], b[:-k]) if k else (a, b)
+
+
 def _levenshtein(a: list[str], b: list[str]) -> int:
+    a, b = _trim(a, b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i
@@ -145,33 +158,61 @@ def _levenshtein(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def _faults(a: list[str], b: list[str]) -> tuple[list[bool], list[bool]]:
+    """Which tokens of either side an optimal alignment doesn't match."""
+    table = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        above, row = table[-1], [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j - 1] + (x != y), above[j] + 1, row[j - 1] + 1))
+        table.append(row)
+    bad_a, bad_b = [True] * len(a), [True] * len(b)
+    i, j = len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1] and table[i][j] == table[i - 1][j - 1]:
+            bad_a[i - 1] = bad_b[j - 1] = False
+            i, j = i - 1, j - 1
+        elif table[i][j] == table[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+        elif table[i][j] == table[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return bad_a, bad_b
+
+
 def ter_of(predicted: str, gold: str, longest_shift: int = 10) -> float | None:
     """Translation edit rate: edits and block shifts / tokens of the correct formula, at most 1.
 
     Shifts are chosen greedily: of all blocks that also stand in the correct formula, elsewhere, the move that saves most
-    edits is made, as long as it saves more than the one edit it costs.
+    edits is made, as long as it saves more than the one edit it costs. Only blocks with a token out of place are moved,
+    and only to places where the correct formula has an unmatched token.
     """
     p, g = python_tokens(predicted), python_tokens(gold)
     shifts, now = 0, _levenshtein(p, g)
     while now > 1:
+        bad_p, bad_g = _faults(p, g)
         places: dict[tuple[str, ...], list[int]] = {}
         for n in range(1, min(longest_shift, len(g)) + 1):
             for i in range(len(g) - n + 1):
-                places.setdefault(tuple(g[i : i + n]), []).append(i)
+                if any(bad_g[i : i + n]):
+                    places.setdefault(tuple(g[i : i + n]), []).append(i)
         best, chosen = now, None
         for n in range(min(longest_shift, len(p)), 0, -1):
             for i in range(len(p) - n + 1):
-                block = p[i : i + n]
-                if p[i : i + n] == g[i : i + n]:
+                if not any(bad_p[i : i + n]):
                     continue
+                block = p[i : i + n]
                 for to in places.get(tuple(block), ()):
+                    if to == i:
+                        continue
                     rest = p[:i] + p[i + n :]
                     moved = rest[:to] + block + rest[to:]
-                    if moved != p and abs(to - i) > 0 and (d := _levenshtein(moved, g)) < best:
+                    if (d := _levenshtein(moved, g)) < best:
                         best, chosen = d, moved
-            if chosen is not None and now - best > 1:
+            if chosen is not None and now - best > n:
                 break
-        if chosen is None or best + 1 > now:
+        if chosen is None or best + 1 >= now:
             break
         p, now, shifts = chosen, best, shifts + 1
     return min(1.0, (now + shifts) / len(g))

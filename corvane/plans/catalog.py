@@ -165,7 +165,7 @@ _WF, _WG = (f"list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')" f
 
 
 @query(
-    f"SELECT pos, round(wer, 6) AS wer, round(least(1.0, wer), 6) AS wer_max FROM (SELECT pos, CASE WHEN {sql.ELIGIBLE} THEN levenshtein({sql.coded('a', 'v')}, {sql.coded('b', 'v')}) / CAST(nullif(len(b), 0) AS DOUBLE) END AS wer FROM "
+    f"SELECT pos, round(wer, 6) AS wer, CASE WHEN wer IS NOT NULL THEN round(least(1.0, wer), 6) END AS wer_max FROM (SELECT pos, CASE WHEN {sql.ELIGIBLE} THEN levenshtein({sql.coded('a', 'v')}, {sql.coded('b', 'v')}) / CAST(nullif(len(b), 0) AS DOUBLE) END AS wer FROM "
     f"(SELECT *, list_distinct(a || b) AS v FROM (SELECT *, {_WF} AS a, {_WG} AS b FROM gold)))"
 )
 def wer_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ def ter_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH t AS (SELECT pos, regexp_replace(f, '\\s', '', 'g') AS p, regexp_replace(f_prime, '\\s', '', 'g') AS g FROM gold WHERE {sql.ELIGIBLE}), "
+    f"WITH t AS (SELECT pos, regexp_replace(f, '[\\s\\x{{00A0}}]', '', 'g') AS p, regexp_replace(f_prime, '[\\s\\x{{00A0}}]', '', 'g') AS g FROM gold WHERE {sql.ELIGIBLE}), "
     "a AS (SELECT pos, n, substr(p, i, n) AS x, count(*) AS c FROM (SELECT pos, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM t, range(1, 7) r(n)) GROUP BY ALL), "
     "b AS (SELECT pos, n, substr(g, i, n) AS x, count(*) AS c FROM (SELECT pos, g, n, unnest(range(1, length(g) - n + 2)) AS i FROM t, range(1, 7) r(n)) GROUP BY ALL), "
     "s AS (SELECT pos, n, sum(least(a.c, b.c)) AS same FROM a JOIN b USING (pos, n, x) GROUP BY ALL), na AS (SELECT pos, n, sum(c) AS c FROM a GROUP BY ALL), nb AS (SELECT pos, n, sum(c) AS c FROM b GROUP BY ALL), "
@@ -239,11 +239,11 @@ _KNN = (
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM ({_KNN})"
 
 
-@query(f"SELECT id, other, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ({_RANKED}) WHERE rank <= {N_SAMPLES}")
+@query(f"SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM ({_RANKED}) WHERE rank <= {N_SAMPLES}")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries: every row whose id is divisible by 50, against all rows."""
     e = load(spark, d, "embeddings")
-    return _rounded(nearest.nearest(e.where("vec_id % 50 = 0"), e, N_SAMPLES, "vec_id", "embedding"), "distance")
+    return nearest.nearest(e.where("vec_id % 50 = 0"), e, N_SAMPLES, "vec_id", "embedding")
 
 
 @query(f"SELECT id, string_agg(CAST(other AS VARCHAR), ' ' ORDER BY rank DESC) AS others FROM ({_RANKED}) WHERE rank <= {N_SAMPLES} GROUP BY id")
@@ -267,9 +267,9 @@ _POOL = (
 )
 
 
-@query(f"WITH {_POOL} SELECT id, other, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k")
+@query(f"WITH {_POOL} SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM k")
 def growing_pool(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(nearest.few_shot(_embedded(spark, d), N_SAMPLES), "distance")
+    return nearest.few_shot(_embedded(spark, d), N_SAMPLES)
 
 
 def _quoted(text: str) -> str:
