@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corvane.llm.spans import TYPES, Names, label, varied
 from corvane.session import bounded_sample
 
-SAMPLE_DOCS = 1_500
+SAMPLE_DOCS = 3_000
 SAMPLE_DOC_CHARS = 20_000
 TRAIN_WINDOWS = 14_000
 EPOCHS = 5

@@ -36,7 +36,7 @@ _CAP = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ]*[a-zà-öø-ÿ]"
 _LOUD = r"[A-ZÀ-ÖØ-Þ]{2,}"
 OPENERS = {"Ask", "Only", "In", "By", "The", "Agreed", "According", "Drawn", "Reviewed", "Deliver", "Contact", "From", "To", "With", "For", "And", "Best", "Compare"}
 
-_PAIR = re.compile(rf"\b({_CAP}|{_LOUD}) (?:[A-ZÀ-ÖØ-Þ]\. )?({_CAP}|{_LOUD})\b")
+_PAIR = re.compile(rf"\b({_CAP}|{_LOUD}) (?=(?:[A-ZÀ-ÖØ-Þ]\. )?({_CAP}|{_LOUD})\b)")
 
 
 def _no_emails(line: str) -> str:
