@@ -21,6 +21,7 @@ from corvane.functions.distances import l2
 from corvane.operators.records import numbered
 
 BLOCK = 2_048
+GROWING_BLOCKS = 256  # a growing pool is cut into at most so many blocks, larger ones if need be
 DECIMALS = 9
 
 
@@ -77,6 +78,7 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str = "id", vec: s
         p = p.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
     else:
         # blocks of consecutive seq, by approximate quantiles: a block of queries needs the pool blocks up to its own
+        n_p = min(n_p, GROWING_BLOCKS)
         edges = p.approxQuantile("seq", [i / n_p for i in range(1, n_p)], 0.0005) if n_p > 1 else []
         place: Column = F.lit(0).cast("bigint")
         for e in dict.fromkeys(edges):

@@ -43,9 +43,15 @@ def sampled_by_id(ignore: str = "ignore_flag", fprime: str = "f_prime") -> Colum
     return present(fprime) & ~F.coalesce(F.lower(c).isin(*VETOED), F.lit(False))
 
 
-def scored(df: DataFrame, scores: dict[str, Column], **rule) -> DataFrame:
-    """Adds or replaces score columns; records that can't be scored keep NULL and stay."""
-    return df.withColumns({name: F.when(eligible(**rule), c) for name, c in scores.items()})
+def scored(df: DataFrame, scores: dict[str, Column], f: str = "f", fprime: str = "f_prime", **rule) -> DataFrame:
+    """Adds or replaces score columns; records that can't be scored keep NULL and stay.
+
+    The texts of such records are set to NULL before the scores see them: scores of NULL are NULL, and outside of a
+    condition Catalyst computes what several scores share once.
+    """
+    can = eligible(f, fprime, **rule)
+    held = {f"_{c}": F.col(c) for c in (f, fprime)}
+    return df.withColumns(held | {c: F.when(can, F.col(c)) for c in (f, fprime)}).withColumns(scores).withColumns({c: F.col(f"_{c}") for c in (f, fprime)}).drop(*held)
 
 
 def blanked(df: DataFrame, column: str) -> DataFrame:

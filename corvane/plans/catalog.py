@@ -158,10 +158,11 @@ _TF, _TG = sql.tokens("f"), sql.tokens("f_prime")
     f"(SELECT *, CAST(len(list_intersect(list_distinct({_TF}), list_distinct({_TG}))) AS DOUBLE) AS i, len(list_distinct({_TF} || {_TG})) AS u FROM gold)"
 )
 def jaccard_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_scored(spark, d, jaccard=distances.jaccard("f", "f_prime"), jaccard_index=distances.jaccard_index("f", "f_prime")), "jaccard", "jaccard_index")
+    index = _scored(spark, d, jaccard_index=distances.jaccard_index("f", "f_prime"))
+    return _rounded(index.withColumn("jaccard", F.lit(1.0) - F.col("jaccard_index")), "jaccard", "jaccard_index")
 
 
-_WF, _WG = (f"list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')" for c in ("f", "f_prime"))
+_WF, _WG = (f"list_filter(string_split_regex({c}, '[\\s\\x{{00A0}}]+'), lambda w: w <> '')" for c in ("f", "f_prime"))
 
 
 @query(
@@ -169,8 +170,8 @@ _WF, _WG = (f"list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> '')" f
     f"(SELECT *, list_distinct(a || b) AS v FROM (SELECT *, {_WF} AS a, {_WG} AS b FROM gold)))"
 )
 def wer_scores(spark: SparkSession, d: str) -> DataFrame:
-    rate = distances.word_error_rate("f", "f_prime")
-    return _rounded(_scored(spark, d, wer=rate, wer_max=distances.word_error_rate("f", "f_prime", clip=True)), "wer", "wer_max")
+    rates = _scored(spark, d, wer=distances.word_error_rate("f", "f_prime"))
+    return _rounded(rates.withColumn("wer_max", F.when(F.col("wer").isNotNull(), F.least(F.lit(1.0), "wer"))), "wer", "wer_max")
 
 
 @query(

@@ -80,6 +80,34 @@ def test_score_properties(a, b):
     assert 0 <= graph.graph_edit_of(a, b, 100) <= graph.size_of(g) + graph.size_of(h)
 
 
+words = st.lists(st.sampled_from("abcd"), max_size=70)
+
+
+@settings(max_examples=200, deadline=None)
+@given(words, words)
+def test_bit_vectors_equal_the_table(a, b):
+    assert D.token_edits(a, b) == D._levenshtein(a, b)
+
+
+def plain_chrf(p, g):
+    from collections import Counter
+
+    p, g = "".join(p.split()), "".join(g.split())
+    pr, re, k = 0.0, 0.0, 0
+    for n in range(1, 7):
+        x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (p, g))
+        if x and y:
+            pr, re, k = pr + sum((x & y).values()) / sum(x.values()), re + sum((x & y).values()) / sum(y.values()), k + 1
+    return 100 * 5 * pr * re / k / (4 * pr + re) if k and pr + re else 0.0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc ", max_size=25), st.text("abc ", max_size=25), st.text("ab", max_size=10))
+def test_chrf_equals_the_plain_count(a, b, shared):
+    for p, g in ((a, b), (shared + a, shared + b), (a + shared, b + shared), (a + shared + b, a + b)):
+        assert D.chrf_of(p, g) == pytest.approx(plain_chrf(p, g))
+
+
 def test_ter_counts_a_shift_once():
     assert D.ter_of("a b c d", "b c d a") == pytest.approx(0.25)
 
