@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.spans import TYPES, Names, label, varied
+from corvane.llm.spans import TYPES, Names, fits, label, varied
 from corvane.session import bounded_sample
 
 SAMPLE_DOCS = 3_000
@@ -315,7 +315,8 @@ class Tagger:
             tags = self.viterbi(e, lengths)
             for i in np.flatnonzero(tags.any(axis=1)):
                 n = part[i]
-                out[n] = [s for s in tag_spans(tags[i, : lengths[i]]) if plausible(lines[n][s[0] : s[1]], s[2], self.plain)]
+                spans = [(a, b, retyped(lines[n][a:b], kind)) for a, b, kind in tag_spans(tags[i, : lengths[i]])]
+                out[n] = [s for s in spans if plausible(lines[n][s[0] : s[1]], s[2], self.plain)]
         return out
 
 
@@ -349,6 +350,14 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
     return [tuple(s) for s in out]
 
 
+def retyped(text: str, kind: str) -> str:
+    """A number that has the full form of the other kind of number, and not of its own, is of that kind."""
+    if kind in ("phone", "id_number") and not fits(text, kind):
+        other = "id_number" if kind == "phone" else "phone"
+        return other if fits(text, other) else kind
+    return kind
+
+
 def plausible(text: str, kind: str, plain: frozenset[str] = frozenset()) -> bool:
     """Can the text be of this type at all? ``plain``: words that are no surnames."""
     digits = sum(c.isdigit() for c in text)
@@ -361,7 +370,8 @@ def plausible(text: str, kind: str, plain: frozenset[str] = frozenset()) -> bool
     if kind == "address":
         return digits > 0 and sum(c.isalpha() for c in text) >= 4
     words = re.findall(r"[^\W\d_]+", text)
-    return digits == 0 and len(words) >= 2 and all(w[0].isupper() for w in words) and any(len(w) > 2 and w.lower() not in plain for w in words)
+    one_piece = not re.search(r"[^\W\d_]{4,}\. ", text)  # no sentence ends inside a name
+    return digits == 0 and len(words) >= 2 and one_piece and all(w[0].isupper() for w in words) and any(len(w) > 3 and w.lower() not in plain for w in words)
 
 
 def training_set(texts: list[str], listed: set[str], windows: int = TRAIN_WINDOWS, seed: int = 4) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], frozenset[str]]:

@@ -124,6 +124,11 @@ def label(line: str, names: Names) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def fits(text: str, kind: str) -> bool:
+    """Has the whole text one of the type's fixed forms?"""
+    return any(k == kind and form.fullmatch(text) for k, form in _FORMS)
+
+
 def varied(line: str, spans: list[tuple[int, int, str]], names: Names, rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
     """A copy with other digits in its numbers and other people in its names."""
     out, new, last, size = [], [], 0, 0
