@@ -1,23 +1,42 @@
 """Ordered series: outliers, min-max scaling, running sums, linear trends with a band.
 
 A series is a set of rows (series, x, y). Aggregates that only need totals are group-bys joined back on the series (two
-small exchanges); only the running sum needs the rows of a series in order. There, blocks of consecutive x are summed in
-parallel first and shifted by the blocks before, so that even one very long series spreads over many tasks.
+small exchanges); only numbering and the running sum need the rows of a series in order. There, blocks of consecutive
+places are counted or summed in parallel and shifted by the blocks before, so even one very long series spreads over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 3.0
 BLOCK = 65_536
 
 
-def points(ordered: DataFrame, series: list[str], place: str, value: str) -> DataFrame:
-    """``series..., x, y`` with x = 0, 1, ... in the order of ``place`` within each series (ties: by value)."""
-    w = Window.partitionBy(*series).orderBy(place, value)
-    return ordered.where(F.col(value).isNotNull()).select(*series, (F.row_number().over(w) - 1).cast("long").alias("x"), F.col(value).cast("double").alias("y"))
+def _blocks(df: DataFrame, series: list[str], place: str, block: int, total: Column) -> DataFrame:
+    """The rows with ``_block``, consecutive ranges of ``place``, and ``_before``, the total over all earlier blocks."""
+    s = df.withColumn("_block", F.floor(F.col(place) / block))
+    sums = s.groupBy(*series, "_block").agg(total.alias("_sum"))
+    before = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*series, "_block", F.sum("_sum").over(before).alias("_before"))
+    return s.join(sums, [*series, "_block"])
+
+
+def _numbered(df: DataFrame, series: list[str], place: str, tie: str, block: int) -> DataFrame:
+    """``x`` = 0, 1, ... in the order of ``place``, then ``tie``."""
+    inside = Window.partitionBy(*series, "_block").orderBy(place, tie)
+    x = F.row_number().over(inside) - 1 + F.coalesce("_before", F.lit(0))
+    return _blocks(df, series, place, block, F.count(F.lit(1))).withColumn("x", x.cast("long")).drop("_block", "_before")
+
+
+def points(ordered: DataFrame, series: list[str], place: str, value: str, block: int = BLOCK) -> DataFrame:
+    """``series..., x, y`` with x = 0, 1, ... in the order of ``place`` within each series (ties: by value).
+
+    ``place`` is a number that is near enough unique, so that a range of ``block`` places is one task's work.
+    """
+    rows = ordered.where(F.col(value).isNotNull() & F.col(place).isNotNull()).select(*series, F.col(place).alias("_place"), F.col(value).cast("double").alias("y"))
+    return _numbered(rows, series, "_place", "y", block).select(*series, "x", "y")
 
 
 def _with(df: DataFrame, series: list[str], *aggregates) -> DataFrame:
@@ -31,8 +50,8 @@ def without_outliers(df: DataFrame, series: list[str], threshold: float = THRESH
     return s.where(F.coalesce(far <= threshold, F.lit(True))).drop("_m", "_s")
 
 
-def renumbered(df: DataFrame, series: list[str]) -> DataFrame:
-    return df.withColumn("x", (F.row_number().over(Window.partitionBy(*series).orderBy("x")) - 1).cast("long"))
+def renumbered(df: DataFrame, series: list[str], block: int = BLOCK) -> DataFrame:
+    return _numbered(df.withColumnRenamed("x", "_place"), series, "_place", "y", block).select(*series, "x", "y")
 
 
 def normalised(df: DataFrame, series: list[str]) -> DataFrame:
@@ -43,12 +62,9 @@ def normalised(df: DataFrame, series: list[str]) -> DataFrame:
 
 def cumulative(df: DataFrame, series: list[str], block: int = BLOCK) -> DataFrame:
     """``y`` as a running total in the order of x."""
-    s = df.withColumn("_block", F.floor(F.col("x") / block))
-    sums = s.groupBy(*series, "_block").agg(F.sum("y").alias("_sum"))
-    before = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*series, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
     inside = Window.partitionBy(*series, "_block").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return s.withColumn("y", F.sum("y").over(inside)).join(sums, [*series, "_block"]).withColumn("y", F.col("y") + F.col("_before")).drop("_block", "_before")
+    s = _blocks(df, series, "x", block, F.sum("y"))
+    return s.withColumn("y", F.sum("y").over(inside) + F.coalesce("_before", F.lit(0.0))).drop("_block", "_before")
 
 
 def trend(df: DataFrame, series: list[str]) -> DataFrame:

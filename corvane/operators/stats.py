@@ -1,12 +1,12 @@
 """Scores aggregated over records and runs. NULL scores don't count; every spread is the population's.
 
 The first level groups by (id, metric) or (run, metric) with partial sums in every task; the later levels see a handful of
-rows. Scores are restricted to the keys of the first run by a semi join.
+rows. Scores are restricted to the keys of the first run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The metrics of the statistics, and the mark of a graph distance that ran out of time.
@@ -20,16 +20,22 @@ def delivered(scores: DataFrame) -> DataFrame:
     return scores.groupBy("run_no", "id", "metric").agg(latest.alias("score"))
 
 
+def _in_first_run(scores: DataFrame) -> Column:
+    """Is this row a score of the first run? (One scalar subquery, which reads the run number alone.)"""
+    return (F.col("run_no") == scores.agg(F.min("run_no")).scalar()) & F.col("score").isNotNull()
+
+
 def of_first_run(scores: DataFrame) -> DataFrame:
-    """Scores whose id and metric the first run has too."""
-    first = scores.agg(F.min("run_no").alias("first_run"))
-    keys = scores.join(F.broadcast(first), F.col("run_no") == F.col("first_run")).where(F.col("score").isNotNull()).select("id", "metric").distinct()
-    return scores.join(keys, ["id", "metric"], "left_semi")
+    """Scores whose id and metric the first run has too; a window on these keys, not a join of the scores with themselves."""
+    marked = scores.withColumn("_first", _in_first_run(scores))
+    return marked.withColumn("_has", F.max("_first").over(Window.partitionBy("id", "metric"))).where("_has").drop("_first", "_has")
 
 
 def per_record(scores: DataFrame) -> DataFrame:
     """``id, metric, n_runs, mean, std`` over the runs."""
-    return of_first_run(scores).groupBy("id", "metric").agg(F.count("score").alias("n_runs"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    kept = scores.withColumn("_first", _in_first_run(scores)).groupBy("id", "metric")
+    kept = kept.agg(F.count("score").alias("n_runs"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.max("_first").alias("_has"))
+    return kept.where("_has").drop("_has")
 
 
 def per_run(scores: DataFrame) -> DataFrame:

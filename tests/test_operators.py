@@ -131,6 +131,9 @@ def test_series(spark):
     df = line(spark, [1, 2, 3, 4]).union(line(spark, [5, 5], "flat"))
     assert [r.y for r in series.cumulative(df.where("series = 's'"), ["series"], block=3).orderBy("x").collect()] == [1, 3, 6, 10]
     assert [r.y for r in series.normalised(df, ["series"]).orderBy("series", "x").collect()] == [None, None, 0, pytest.approx(1 / 3), pytest.approx(2 / 3), 1]
+    gaps = spark.createDataFrame([("s", 7, 1.0), ("s", 3, 2.0), ("s", 3, 1.5), ("s", 900, 4.0), ("s", 5, None), ("s", None, 9.0)], "series string, seq long, v double")
+    for block in (2, 65_536):
+        assert [(r.x, r.y) for r in series.points(gaps, ["series"], "seq", "v", block).orderBy("x").collect()] == [(0, 1.5), (1, 2.0), (2, 1.0), (3, 4.0)]
     t = {r.series: r for r in series.trend(df, ["series"]).collect()}
     assert t["s"].slope == pytest.approx(1) and t["s"].band == pytest.approx(0)
     spike = line(spark, [0] * 20 + [100])
