@@ -3,8 +3,9 @@
 Learned partitions: on a bounded sample the exact neighbour graph is built and cut into balanced parts by recursive
 bisection with swaps that lower the number of cut edges; a small network (one hidden layer) then learns, from each
 vector, how its neighbours are spread over the parts. Every vector is indexed in the part the network finds most likely,
-and as a query visits the ``PROBES`` most likely parts, where it is ranked by its exact distances. The number of parts
-grows with the collection, so that the work for a query stays about the same.
+and as a query visits the most likely parts that make up ``MASS`` of the predicted spread, at most ``PROBES``, where it is
+ranked by its exact distances. The number of parts grows with the collection, so that the work for a query stays about the
+same. A query whose parts hold fewer than k others is searched in all blocks.
 
 * equal vectors are collapsed before the search and spread again after it, so a group of copies costs one query;
 * a part that is larger than ``BLOCK`` is searched in blocks and its queries come in chunks of ``CHUNK``; every block
@@ -31,7 +32,8 @@ DIM = 64
 K = 5
 SAMPLE = 12_000
 PART_ROWS = 2_000
-PROBES = 6
+PROBES = 8
+MASS = 0.92
 BLOCK = 8_192
 CHUNK = 16_384
 _LEAST_SAMPLE_PER_PART = 16
@@ -130,15 +132,20 @@ class Router:
                     v -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(ss / (1 - 0.999**step)) + 1e-8)
         return cls([mean.astype(np.float32), np.float32(scale), *w])
 
-    def ranked(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` most likely parts of each row, the most likely first."""
+    def ranked(self, x: np.ndarray, probes: int, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
+        """The most likely parts of each row, the most likely first, and how many of them make up ``mass`` of the
+        predicted spread (two at least, ``probes`` at most)."""
         if not self.weights:
-            return np.zeros((len(x), 1), dtype=np.int32)
+            return np.zeros((len(x), 1), dtype=np.int32), np.ones(len(x), dtype=np.int64)
         mean, scale, w0, b0, w1, b1 = self.weights
         o = np.maximum((x - mean) / scale @ w0 + b0, 0) @ w1 + b1
+        o = np.exp(o - o.max(1, keepdims=True))
+        o /= o.sum(1, keepdims=True)
         probes = min(probes, o.shape[1])
         top = np.argpartition(-o, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(o, top, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(o, top, axis=1), axis=1, kind="stable"), axis=1)
+        spread = np.cumsum(np.take_along_axis(o, top, axis=1), axis=1)
+        return top.astype(np.int32), np.clip((spread < mass).sum(1) + 1, min(2, probes), probes)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -205,9 +212,9 @@ def nearest_classes(classes: DataFrame, k: int = K, part_rows: int = PART_ROWS,
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked = router.value.ranked(_matrix(batch.column(1)), probes)
-                flat = pa.array(ranked.ravel(), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ranked.size + 1, ranked.shape[1]), pa.int32()), flat)
+                ranked, count = router.value.ranked(_matrix(batch.column(1)), probes)
+                flat = ranked[np.arange(ranked.shape[1])[None, :] < count[:, None]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vec", "parts"])
 
     routed = cut(classes.select("id", "vec").mapInArrow(route, "id bigint, vec binary, parts array<int>"), "neighbours-routed")
@@ -220,8 +227,23 @@ def nearest_classes(classes: DataFrame, k: int = K, part_rows: int = PART_ROWS,
     asked = routed.select("id", "vec", F.explode("parts").alias("part")).join(F.broadcast(sizes), "part")
     asked = asked.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("part").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
     keys = ["part", "block", "chunk"]
+    near = cut(_best(index, asked, keys, k), "neighbours-near")
+    short = routed.select("id", "vec").join(near.where(F.size("near") >= min(k, n - 1)).select("id"), "id", "left_anti")
+    missing = short.count() if n > 1 else 0
+    if missing:
+        blocks, chunks = -(-n // block), -(-missing // chunk)
+        number = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+        every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+        index = routed.select("id", "vec", number(blocks).alias("block"), every(chunks).alias("chunk"))
+        asked = short.select(F.col("id").alias("id"), F.col("vec").alias("vec"), every(blocks).alias("block"), number(chunks).alias("chunk"))
+        near = near.join(short.select("id"), "id", "left_anti").unionByName(_best(index, asked, ["block", "chunk"], k))
+    return near
+
+
+def _best(index: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``id, near``: the k nearest over all groups in which an asked id meets a part of the index."""
     hits = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), "id bigint, other bigint, d double")
-    ordered = F.array_sort(F.collect_list(F.struct("d", "other")))  # at most k for each part and block a query visits
+    ordered = F.array_sort(F.collect_list(F.struct("d", "other")))  # at most k for each group an id is in
     return hits.groupBy("id").agg(F.slice(ordered, 1, k).getField("other").alias("near"))
 
 

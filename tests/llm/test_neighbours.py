@@ -46,6 +46,14 @@ def test_copies_bad_vectors_and_small_tables(spark):
     assert neighbours.pairs(table(spark, x).where("false")).count() == 0
 
 
+def test_parts_with_too_few_vectors(spark, monkeypatch):
+    # a router that scatters rows over parts of about two
+    monkeypatch.setattr(neighbours, "_LEAST_SAMPLE_PER_PART", 1)
+    x = np.random.default_rng(4).normal(size=(60, neighbours.DIM)).astype(np.float32)
+    got = {r.pos: r.near for r in neighbours.nearest(table(spark, x), part_rows=2, probes=1).collect()}
+    assert len(got) == 60 and all(len(v) == 5 for v in got.values())
+
+
 def test_parts_are_balanced():
     x = clustered(800)
     label = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), 7)
