@@ -89,6 +89,12 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _log_product(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """log(exp(x) @ m), safely."""
+    top = x.max(axis=1, keepdims=True)
+    return top + np.log(np.maximum(np.exp(x - top) @ m, 1e-30))
+
+
 def _backwards(lengths: np.ndarray, width: int) -> np.ndarray:
     """For each sequence the positions of its reversal; the padding keeps its place."""
     t = np.arange(width)[None, :]
@@ -152,33 +158,38 @@ class Tagger:
 
     def _joined(self, saved: dict) -> np.ndarray:
         """(batch, time, 2 * hidden) in the text's order."""
-        fwd = saved["hs"][:, 0].transpose(1, 0, 2)
-        bwd = np.take_along_axis(saved["hs"][:, 1].transpose(1, 0, 2), saved["back"][:, :, None], axis=1)
-        return np.concatenate([fwd, bwd], axis=2)
+        hs, back = saved["hs"], saved["back"]
+        out = np.empty((hs.shape[2], hs.shape[0], 2 * self.hidden), np.float32)
+        out[:, :, : self.hidden] = hs[:, 0].transpose(1, 0, 2)
+        out[:, :, self.hidden :] = hs[back, 1, np.arange(len(back))[:, None]]
+        return out
+
 
     def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self._joined(self._states(x, lengths, False)) @ self.p["out"] + self.p["out_bias"]
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best tags (batch, time)."""
+        """Best tags (batch, time). Tags come first in the arrays, so that maxima run over whole batches; the way back
+        looks for the best predecessor of the tags on the path alone."""
         move = self.p["move"] + _MOVE
         batch, time, _ = scores.shape
-        best = scores[:, 0] + self.p["start"] + _START
-        came = np.zeros((time, batch, K), np.int8)
+        by_tag = np.ascontiguousarray(scores.transpose(1, 2, 0))
+        inside = np.arange(time)[:, None] < lengths[None, :]
+        reached = np.empty((time, K, batch), np.float32)
+        best = reached[0] = by_tag[0] + (self.p["start"] + _START)[:, None]
+        steps = move[:, :, None]
         for t in range(1, time):
-            step = best[:, :, None] + move
-            came[t] = step.argmax(axis=1)
-            new = step.max(axis=1) + scores[:, t]
-            best = np.where((t < lengths)[:, None], new, best)
-        tags = np.zeros((batch, time), np.int8)
-        at = (best + self.p["end"]).argmax(axis=1)
-        rows = np.arange(batch)
+            new = (best[:, None, :] + steps).max(axis=0)
+            new += by_tag[t]
+            best = reached[t] = new if inside[t].all() else np.where(inside[t], new, best)
+        tags = np.zeros((time, batch), np.int8)
+        at = (best + self.p["end"][:, None]).argmax(axis=0)
         for t in range(time - 1, -1, -1):
-            inside = t < lengths
-            tags[inside, t] = at[inside]
+            tags[t] = np.where(inside[t], at, 0)
             if t:
-                at = np.where(inside, came[t, rows, at], at)
-        return tags
+                at = np.where(inside[t], (reached[t - 1] + move[:, at]).argmax(axis=0), at)
+        return tags.T
+
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood a character, and its gradients."""
@@ -191,20 +202,24 @@ class Tagger:
         move, start, end = p["move"] + _MOVE, p["start"] + _START, p["end"]
         alpha = np.empty((time, batch, K), np.float32)
         beta = np.empty_like(alpha)
+        step = np.exp(move)  # forbidden moves become 0
         alpha[0] = start + e[:, 0]
         for t in range(1, time):
-            alpha[t] = np.where(mask[:, t, None], _lse(alpha[t - 1][:, :, None] + move, 1) + e[:, t], alpha[t - 1])
+            alpha[t] = np.where(mask[:, t, None], _log_product(alpha[t - 1], step) + e[:, t], alpha[t - 1])
         beta[-1] = end
         for t in range(time - 2, -1, -1):
-            beta[t] = np.where(mask[:, t + 1, None], _lse(move + (e[:, t + 1] + beta[t + 1])[:, None, :], 2), end)
+            beta[t] = np.where(mask[:, t + 1, None], _log_product(e[:, t + 1] + beta[t + 1], step.T), end)
         z = _lse(alpha[-1] + end, 1)
         rows = np.arange(batch)
         unary = np.exp(alpha + beta - z[None, :, None]).transpose(1, 0, 2) * mask[:, :, None]
         both = mask[:, 1:]
         total = max(1, int(mask.sum()))
-        pairs = np.exp(alpha[:-1].transpose(1, 0, 2)[:, :, :, None] + move + (e[:, 1:] + beta[1:].transpose(1, 0, 2))[:, :, None, :] - z[:, None, None, None])
+        before, after = alpha[:-1].transpose(1, 0, 2)[both], (e[:, 1:] + beta[1:].transpose(1, 0, 2))[both]
+        top, low = before.max(axis=1, keepdims=True), after.max(axis=1, keepdims=True)
+        weight = np.exp(np.minimum(top + low - np.broadcast_to(z[:, None], both.shape)[both][:, None], 60))
+        pairs = step * (np.exp(before - top).T @ (np.exp(after - low) * weight))
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["move"] = np.where(_MOVE < 0, 0, (pairs * both[:, :, None, None]).sum(axis=(0, 1)))
+        g["move"] = np.where(_MOVE < 0, 0, pairs)
         pair_gold = gold[:, :-1][both].astype(int) * K + gold[:, 1:][both]
         g["move"] -= np.bincount(pair_gold, minlength=K * K).reshape(K, K)
         last = gold[rows, lengths - 1]
