@@ -35,10 +35,17 @@ def too_long(text: Column | str, limit: int = TOKEN_LIMIT) -> Column:
 
 def split_at_top(text: str, symbols: str) -> list[str]:
     """Pieces between the symbols that stand outside parentheses, stripped."""
+    if not any(s in text for s in symbols):
+        return [text.strip()]
+    if len(symbols) == 1 and "(" not in text and ")" not in text:
+        return [piece.strip() for piece in text.split(symbols)]
     out, depth, start = [], 0, 0
     for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if depth == 0 and c in symbols:
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif depth == 0 and c in symbols:
             out.append(text[start:i].strip())
             start = i + 1
     return [*out, text[start:].strip()]

@@ -8,7 +8,6 @@ off the operands of ⊓, ⊔ and of a single dot, not off the sides of ⊑.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,7 +17,9 @@ from pyspark.sql import types as T
 from corvane.functions.distances import _pairwise
 from corvane.functions.formula import bare, split_at_top
 
-BUDGET = 400
+# Steps of the search behind the bound (some 20 s, the time the reference allows), rounds of prices, and rounds without gain.
+BUDGET = 1_000_000
+ROUNDS, PATIENCE = 200, 20
 NO_RESULT = 9999
 
 SCHEMA = T.StructType(
@@ -77,93 +78,160 @@ def _edge_map(g: Graph) -> dict[tuple[int, int], str | None]:
     return {(min(a, b), max(a, b)): label for a, b, label in g.edges}
 
 
-def edit_distance(a: Graph, b: Graph, budget: int = BUDGET) -> int:
-    """Fewest node and edge edits that turn a into b, root on root; the best found within ``budget`` expansions.
+def distance_bounds(a: Graph, b: Graph, budget: int = BUDGET) -> tuple[int, int]:
+    """(at least, at most) the fewest node and edge edits that turn a into b, root on root; equal unless ``budget`` ran out.
+
+    Nodes cost 1 unless their labels are equal, edges 1 to insert or delete, and 1 to change unless their labels are equal
+    or both absent. The smaller graph's nodes all find a partner, so the distance is the larger one's nodes and all edges
+    less what the placement keeps: 1 for equal labels, 2 for an edge, 1 for an edge with another label.
 
-    Depth-first branch and bound: a's nodes are placed in the order of their numbers, likely partners first; what is left
-    costs at least the labels that don't pair up. Nodes cost 1 unless their labels are equal, edges 1 to insert or
-    delete, and 1 to change unless their labels are equal or both absent.
+    A node has one edge to an earlier node at most. So if several nodes were allowed the same partner, the best placement
+    would follow from the leaves upwards, exactly. That is the bound; prices on partners that are wanted more than once
+    lower it (Lagrangian relaxation), and the placements on the way give the other bound. What is left between the two is
+    searched depth first, for one value after the other, losing no more against the bound than the value allows.
     """
-    ea, eb = _edge_map(a), _edge_map(b)
+    if len(a.labels) > len(b.labels):
+        a, b = b, a
     n, m = len(a.labels), len(b.labels)
-    at_a: list[list[tuple[int, str | None]]] = [[] for _ in range(n)]
+    ea, eb = _edge_map(a), _edge_map(b)
+    whole = m + len(ea) + len(eb)
+    if not n:
+        return whole, whole
+    up: list[int] = [-1] * n
+    tag: list[str | None] = [None] * n
     for (x, y), label in ea.items():
-        at_a[max(x, y)].append((min(x, y), label))
-    touching: list[list[tuple[int, str | None]]] = [[] for _ in range(m)]
-    for (x, y), label in eb.items():
-        touching[x].append((y, label))
         if x != y:
-            touching[y].append((x, label))
-    left_a = [Counter(a.labels[i:]) for i in range(n + 1)]
-    best = [n + m + len(ea) + len(eb)]
-    spent = [0]
-    place = [-1] * n
-    used = [-1] * m
-
-    def step_cost(i: int, j: int) -> int:
-        """Edges between i and the nodes placed before it, if it goes to j (-1: nowhere)."""
-        cost = 0
-        kept = 0
-        for x, label in at_a[i]:
-            y = j if x == i else place[x]
-            if j < 0 or y < 0:
-                cost += 1
+            up[y], tag[y] = x, label
+    root = (a.labels[0] == b.labels[0]) + ((0, 0) in ea and (0, 0) in eb) * (1 + (ea.get((0, 0)) == eb.get((0, 0))))
+    nowhere = m
+    steps = {t: [(q, j, 2 if label == t else 1) for (x, y), label in eb.items() if x != y for q, j in ((x, y), (y, x)) if j] for t in set(tag)}
+    near: dict[str | None, list[dict[int, int]]] = {t: [{} for _ in range(m + 1)] for t in steps}
+    for t, links in steps.items():
+        for q, j, w in links:
+            near[t][q][j] = w
+    same: dict[str, list[int]] = {}
+    for j in range(1, m):
+        same.setdefault(b.labels[j], []).append(j)
+
+    def relaxed(price: list[float]) -> tuple[float, list[list[float]], list[list[float]]]:
+        """The bound; for each node what it and all below it keep at each place, and at most if its parent is at each place."""
+        sums: list[list[float] | None] = [None] * n
+        most: list[list[float]] = [[]] * n
+        free = [-1e9, *(-x for x in price[1:]), 0.0]
+        total = sum(price) + root
+        for i in range(n - 1, 0, -1):
+            v = sums[i] = free[:] if sums[i] is None else [x + y for x, y in zip(sums[i], free)]
+            for j in same.get(a.labels[i], ()):
+                v[j] += 1
+            top = max(v)
+            u = most[i] = [top] * (m + 1)
+            if up[i] < 0:
+                total += top
                 continue
-            key = (min(j, y), max(j, y))
-            if key in eb:
-                kept += 1
-                cost += label != eb[key]
-            else:
-                cost += 1
-        if j >= 0:
-            cost += sum(1 for y, _ in touching[j] if y == j or used[y] >= 0) - kept
-        return cost
-
-    def go(i: int, cost: int, left_b: Counter) -> None:
-        if spent[0] >= budget and best[0] < n + m + len(ea) + len(eb):
-            return
-        spent[0] += 1
-        if i == n:
-            rest = [j for j in range(m) if used[j] < 0]
-            total = cost + len(rest) + sum(1 for (x, y) in eb if used[x] < 0 or used[y] < 0)
-            best[0] = min(best[0], total)
-            return
-        free = [j for j in range(m) if used[j] < 0] if i else [0] * bool(m)
-        moves = []
-        for j in free:
-            moves.append(((a.labels[i] != b.labels[j]) + step_cost(i, j), abs(i - j), j))
-        if i:
-            moves.append((1 + step_cost(i, -1), n + m, -1))
-        for extra, _, j in sorted(moves):
-            now = cost + extra
-            after = left_b
-            if j >= 0:
-                after = left_b.copy()
-                after[b.labels[j]] -= 1
-            common = sum(min(c, after[label]) for label, c in left_a[i + 1].items())
-            if now + max(n - i - 1, sum(after.values())) - common >= best[0]:
+            for q, j, w in steps[tag[i]]:
+                if v[j] + w > u[q]:
+                    u[q] = v[j] + w
+            sums[up[i]] = u if sums[up[i]] is None else [x + y for x, y in zip(sums[up[i]], u)]
+        return total + (sums[0][0] if sums[0] else 0), sums, most
+
+    def placed(value: list[list[float]], most: list[list[float]], once: bool) -> tuple[int, list[int]]:
+        """What the best places from the root downwards keep, and how often each is taken; once: none twice."""
+        place, used, kept = [0] * n, [1] + [0] * m, root
+        for i in range(1, n):
+            q = place[up[i]] if up[i] >= 0 else nowhere
+            v, links = value[i], near[tag[i]][q]
+            best, at = max(((v[j] + w, j) for j, w in links.items() if not (once and used[j])), default=(-1e18, nowhere))
+            if best < most[i][q]:
+                x, j = max((x, j) for j, x in enumerate(v) if j == nowhere or not used[j]) if once else (max(v), v.index(max(v)))
+                at = j if x > best else at
+            place[i] = at
+            if at != nowhere:
+                used[at] += 1
+                kept += (a.labels[i] == b.labels[at]) + links.get(at, 0)
+        return kept, used
+
+    price = [0.0] * m
+    low, best, pace, idle = -1, None, 1.0, 0
+    for _ in range(ROUNDS):
+        total, value, most = relaxed(price)
+        low = max(low, placed(value, most, True)[0])
+        if best is None or total < best[0] - 1e-9:
+            best, idle = (total, value, most, price[:]), 0
+        elif (idle := idle + 1) == PATIENCE:
+            pace, idle = pace / 2, 0
+        if int(best[0] + 1e-6) <= low:
+            return whole - low, whole - low
+        used = placed(value, most, False)[1]
+        slope = [0, *(used[j] - 1 if used[j] > 1 or price[j] > 0 else 0 for j in range(1, m))]
+        norm = sum(g * g for g in slope)
+        if not norm:
+            break
+        price = [max(0.0, x + pace * max(0.25, total - low) / norm * g) for x, g in zip(price, slope)]
+    total, value, most, price = best
+    spent = 0
+
+    def moves(i: int, place: list[int], taken: list[bool], slack: float) -> list[tuple[float, int]]:
+        q = place[up[i]] if up[i] >= 0 else nowhere
+        links, top = near[tag[i]][q], most[i][q]
+        losses = ((top - x - links.get(j, 0), j) for j, x in enumerate(value[i]) if not taken[j])
+        return sorted(move for move in losses if move[0] <= slack)
+
+    for high in range(int(total + 1e-6), low, -1):
+        place, taken = [0] * n, [True] + [False] * m
+        slack = [total - high + 1e-6] * n
+        todo = [iter(())] * n
+        i = 1
+        if n > 1:
+            todo[1] = iter(moves(1, place, taken, slack[1]))
+        while 0 < i < n:
+            if 0 < place[i] < nowhere:
+                taken[place[i]] = False
+            place[i] = 0
+            loss, j = next(todo[i], (0.0, 0))
+            if not j:
+                i -= 1
                 continue
-            place[i] = j
-            if j >= 0:
-                used[j] = i
-            go(i + 1, now, after)
-            place[i] = -1
-            if j >= 0:
-                used[j] = -1
+            place[i], taken[j] = j, j != nowhere
+            left = slack[i] - loss
+            if i + 1 == n:
+                if sum(x for x, t in zip(price, taken) if not t) <= left:
+                    return whole - high, whole - high
+                continue
+            spent += 1
+            if spent > budget:
+                return whole - high, whole - low
+            i += 1
+            slack[i] = left
+            todo[i] = iter(moves(i, place, taken, left))
+    return whole - low, whole - low
 
-    go(0, 0, Counter(b.labels))
-    return best[0]
 
+def edit_distance(a: Graph, b: Graph, budget: int = BUDGET) -> int:
+    """The distance, or the best found when ``budget`` ran out (see ``distance_bounds``)."""
+    return distance_bounds(a, b, budget)[1]
 
-def graph_edit_of(predicted: str, gold: str, budget: int = BUDGET) -> int:
-    """The smaller of the distances from the prediction and from a lone ⊑ to the correct formula."""
-    b = graph_of(gold)
+
+def edit_bounds_of(predicted: str, gold: str, budget: int = BUDGET) -> tuple[int, int]:
+    """(at least, at most) the smaller of the distances from the prediction and from a lone ⊑ to the correct formula."""
     if predicted == gold:
-        return 0
-    return min(edit_distance(graph_of(predicted), b, budget), edit_distance(Graph(["⊑"]), b, budget))
+        return 0, 0
+    b = graph_of(gold)
+    alone = (b.labels[0] != "⊑") + size_of(b) - 1
+    least, most = distance_bounds(graph_of(predicted), b, budget)
+    return min(least, alone), min(most, alone)
+
+
+def graph_edit_of(predicted: str, gold: str, budget: int = BUDGET) -> int:
+    return edit_bounds_of(predicted, gold, budget)[1]
+
+
+def proven_edit_of(predicted: str, gold: str, budget: int = BUDGET) -> int:
+    """The distance, or NO_RESULT if the search wasn't finished."""
+    least, most = edit_bounds_of(predicted, gold, budget)
+    return most if least == most else NO_RESULT
 
 
-graph_edit = _pairwise(T.IntegerType(), graph_edit_of)
+graph_edit = _pairwise(T.IntegerType(), proven_edit_of)
 
 
 @F.pandas_udf(SCHEMA)

@@ -149,6 +149,37 @@ def test_graph_edit_is_exact_within_the_budget(pair):
     assert graph.edit_distance(a, b, 10**6) == brute_ged(a, b)
 
 
+def test_graph_edit_of_long_formulas_is_proven(spark):
+    clause = "∃{}.(PhysicalProperty ⊓ ∃hasUnit.string[\"{}\"] ⊓ ∃hasValue.int[{}])"
+    right = "Tank ⊓ ∃locatedIn.Room ⊓ ∃madeOf.Brass ⊓ ∃exposedTo.Ice ⊑ ∃hasFeature.Plug ⊓ " + clause.format("hasLoad", "kN", 7) + " ⊓ ∃verifiedBy.Test ⊓ ∃hasTime.string[\"after trials\"]"
+    # a clause more, the same clauses in another order, another sentence of formulas behind it
+    more = right + " ⊓ ∃locatedIn.Hall"
+    turned = " ⊓ ".join(reversed(right.split(" ⊑ ")[0].split(" ⊓ "))) + " ⊑ " + right.split(" ⊑ ")[1]
+    two = "Tank ⊓ ¬∃exposedTo.Ice ⊑ " + right.split(" ⊑ ")[1] + " | Crane ⊑ ∃hasFeature.Valve"
+    df = spark.createDataFrame([(1, more, right), (2, turned, right), (3, two, right), (4, right, right)], "k int, f string, g string")
+    got = {r.k: r.d for r in df.select("k", graph.graph_edit("f", "g").alias("d")).collect()}
+    assert got == {1: 4, 2: 0, 3: graph.edit_bounds_of(two, right)[0], 4: 0}
+    a, b = graph.graph_of(two), graph.graph_of(right)
+    assert graph.distance_bounds(a, b) == graph.distance_bounds(b, a)
+
+
+@settings(max_examples=150, deadline=None)
+@given(symbols, symbols)
+def test_graph_edit_equals_all_placements(a, b):
+    a, b = graph.graph_of(a), graph.graph_of(b)
+    if (len(b.labels) + 1) ** (len(a.labels) - 1) <= 20_000:
+        assert graph.distance_bounds(a, b) == (brute_ged(a, b),) * 2
+
+
+def test_an_unfinished_search_is_marked(monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 1)
+    f, g = (" ⊓ ".join(f"∃r.(A ⊓ ∃s.{x})" for x in names) + " ⊑ C" for names in ("ABCD", "EFGHI"))
+    least, most = graph.edit_bounds_of(f, g, 0)
+    true = graph.graph_edit_of(f, g)
+    assert least <= true <= most and least < most
+    assert graph.proven_edit_of(f, g, 0) == graph.NO_RESULT and graph.proven_edit_of(f, g) == true
+
+
 def test_vectors(spark):
     rows = [([1.0, 0.0], [0.0, 1.0]), ([1.0, 2.0], [2.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0])]
     got = spark.createDataFrame(rows, "a array<double>, b array<double>").select(D.cosine_similarity("a", "b").alias("c"), D.l2("a", "b").alias("l"), D.semantic("a", "b").alias("s")).collect()
