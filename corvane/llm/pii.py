@@ -1,11 +1,13 @@
 """Personal information in free text (problem 9): a character tagger, BiLSTM with a CRF on top, in numpy.
 
 The tagger is trained on the driver from labelled spans (see ``spans``), made from a bounded sample of ``SAMPLE_DOCS``
-documents; nothing else is taken from a sample. Every line of every document is then read on the executors: it is cut
-into overlapping windows, the windows of similar length run through the network together, the scores of overlapping
-windows are reconciled (each character keeps the scores of the window in which it stands furthest from an edge), and one
-Viterbi pass over the whole line gives its spans. Spans that cannot be what they claim (an email without a host, a phone
-number with three digits) are dropped by an exact check. The corpus is read once and not shuffled.
+documents; its weights are kept in the shared folder under a hash of all that they are made from, so a second query over the
+same data reads them. Every line of every document is then read on the executors: characters within ``PAD`` of a place
+that meets some type's necessary condition (``spots``; the rest cannot pass the final check) are cut into overlapping
+windows, windows of similar length run through the network together, the scores of overlapping windows are reconciled
+(each character keeps the scores of the window in which it stands furthest from an edge), and one Viterbi pass over each
+stretch gives its spans. Spans that cannot be what they claim (an email without a host, a phone number with three
+digits) are dropped by an exact check. The corpus is read once and not shuffled.
 
 Defined cases: NULL, empty and blank texts hold nothing and are returned as they are; a document id that occurs twice
 gives its lines once in ``find_pii`` and twice in ``redact``; lines are split at '\\n' alone and counted from 1; with too
@@ -14,25 +16,30 @@ few labelled lines to train on (an empty corpus, say) nothing is found.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import spots
 from corvane.llm.spans import TYPES, Names, fits, label, varied
-from corvane.session import bounded_sample
+from corvane.session import bounded_sample, shared_dir
 
 SAMPLE_DOCS = 3_000
 SAMPLE_DOC_CHARS = 20_000
 TRAIN_WINDOWS = 14_000
 EPOCHS = 5
 HIDDEN = 32
+MAX_NAMES = 1_000_000
+VERSION = 2  # of the way from sample to weights
 WINDOW, OVERLAP = 240, 60
-_GROUP = 256
+PAD = 60
+_GROUP, _GROUP_CHARS = 256, 200_000
 _SLICE_CHARS = 400_000
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(TAGS)
@@ -108,9 +115,9 @@ class Tagger:
     serves all four.
     """
 
-    def __init__(self, hidden: int = HIDDEN, plain: frozenset[str] = frozenset(), seed: int = 11):
+    def __init__(self, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.hidden, self.plain = hidden, plain
+        self.hidden = hidden
         self.p = {
             "low": rng.normal(0, 0.3, (_N_LOW, 2, 4 * hidden)),
             "kind": rng.normal(0, 0.3, (_N_KIND, 2, 4 * hidden)),
@@ -128,7 +135,8 @@ class Tagger:
     def _states(self, x: np.ndarray, lengths: np.ndarray, keep: bool) -> dict[str, np.ndarray]:
         """Runs both directions; x (batch, time). Hidden states (time, 2, batch, hidden), each in its own direction's time."""
         h_size, p = self.hidden, self.p
-        table = p["low"][_LOW] + p["kind"][_KIND] + p["bias"]
+        # everything at -2 times its scale: 1 / (1 + exp(-2z)) is the gate, and twice that less 1 the tanh
+        table, u = -2 * (p["low"][_LOW] + p["kind"][_KIND] + p["bias"]), -2 * p["u"]
         back = _backwards(lengths, x.shape[1])
         both = (x, np.take_along_axis(x, back, axis=1))
         batch, time = x.shape
@@ -140,19 +148,26 @@ class Tagger:
             saved |= {"gates": np.empty((time, 2, batch, 4 * h_size), np.float32), "cs": np.empty_like(hs)}
         fwd, bwd = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
         z = np.empty((2, batch, 4 * h_size), np.float32)
-        for t in range(time):
-            np.matmul(h, p["u"], out=z)
-            z[0] += fwd[both[0][:, t]]
-            z[1] += bwd[both[1][:, t]]
-            np.tanh(z, out=z)
-            gate = z[:, :, : 3 * h_size]
-            gate *= 0.5
-            gate += 0.5
-            c = z[:, :, h_size : 2 * h_size] * c + z[:, :, :h_size] * z[:, :, 3 * h_size :]
-            h = z[:, :, 2 * h_size : 3 * h_size] * np.tanh(c)
-            hs[t] = h
-            if keep:
-                saved["gates"][t], saved["cs"][t] = z, c
+        with np.errstate(over="ignore"):
+            for t in range(time):
+                np.matmul(h, u, out=z)
+                z[0] += fwd[both[0][:, t]]
+                z[1] += bwd[both[1][:, t]]
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new = z[:, :, 3 * h_size :]
+                new *= 2
+                new -= 1
+                c = z[:, :, h_size : 2 * h_size] * c + z[:, :, :h_size] * new
+                h = np.exp(-2 * c)
+                h += 1
+                np.divide(2, h, out=h)
+                h -= 1
+                h *= z[:, :, 2 * h_size : 3 * h_size]
+                hs[t] = h
+                if keep:
+                    saved["gates"][t], saved["cs"][t] = z, c
         saved["hs"] = hs
         return saved
 
@@ -292,47 +307,62 @@ class Tagger:
             losses.append(loss / max(1, len(groups)))
         return losses
 
-    def tag_lines(self, lines: list[str]) -> list[list[tuple[int, int, str]]]:
-        """The spans of each line."""
-        windows: list[tuple[int, int, np.ndarray]] = []
-        scored: list[np.ndarray | None] = []
-        for n, line in enumerate(lines):
-            x = codes(line)
-            scored.append(None)
-            for a in range(0, max(1, len(x) - OVERLAP), WINDOW - OVERLAP):
-                if len(x):
-                    windows.append((n, a, x[a : a + WINDOW]))
-        windows.sort(key=lambda w: len(w[2]))
-        for g in range(0, len(windows), _GROUP):
-            part = windows[g : g + _GROUP]
-            x, lengths, _ = padded([(w[2], None) for w in part])
-            e = self.scores(x, lengths)
-            for (n, a, w), row in zip(part, e):
-                own = row[: len(w)].copy()
-                size = len(lines[n])
-                if size <= WINDOW:
-                    scored[n] = own
-                    continue
-                if scored[n] is None:
-                    scored[n] = np.empty((size, K), np.float32)
-                # of two overlapping windows each rules its half of the overlap
-                lo = 0 if a == 0 else OVERLAP // 2
-                hi = len(w) if a + len(w) >= size else WINDOW - OVERLAP // 2
-                scored[n][a + lo : a + hi] = own[lo:hi]
+    def tag_lines(self, lines: list[str], everything: bool = False) -> list[list[tuple[int, int, str]]]:
+        """The spans of each line. ``everything``: reads whole lines, not only the stretches around spots."""
+        text = "\n".join(lines)
+        seen = spots.find(text)
+        starts = np.cumsum([0, *(len(line) + 1 for line in lines)])
+        parts = [(int(a), int(a) + len(line)) for a, line in zip(starts, lines) if line] if everything else spots.regions(text, seen, PAD)
+        known: dict[str, list[tuple[int, int]]] = {}
+        for a, b in parts:
+            known.setdefault(text[a:b], []).append((a, b))  # a stretch that occurs several times is read once
         out: list[list[tuple[int, int, str]]] = [[] for _ in lines]
-        order = sorted((n for n in range(len(lines)) if scored[n] is not None), key=lambda n: len(scored[n]))
-        for g in range(0, len(order), _GROUP):
-            part = order[g : g + _GROUP]
-            lengths = np.array([len(scored[n]) for n in part])
-            e = np.zeros((len(part), lengths.max(), K), np.float32)
-            for i, n in enumerate(part):
-                e[i, : lengths[i]] = scored[n]
+        for piece, tags in self._tagged(sorted(known, key=len)):
+            for a, b, kind in tag_spans(tags):
+                kind = retyped(piece[a:b], kind)
+                if plausible(piece[a:b], kind):
+                    for at, _ in known[piece]:
+                        if spots.holds(seen, kind, at + a, at + b):
+                            n = int(np.searchsorted(starts, at + a, side="right")) - 1
+                            out[n].append((at + a - int(starts[n]), at + b - int(starts[n]), kind))
+        return [sorted(spans) for spans in out]
+
+    def _tagged(self, pieces: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Pieces that have tags, with them; the pieces come by length and go through the network in groups of bounded size."""
+        for lo, hi in _grouped([len(p) for p in pieces]):
+            windows: list[tuple[int, int, np.ndarray]] = []
+            scored: list[np.ndarray] = []
+            for n, piece in enumerate(pieces[lo:hi]):
+                x = codes(piece)
+                scored.append(np.empty((len(x), K), np.float32))
+                windows += [(n, a, x[a : a + WINDOW]) for a in range(0, max(1, len(x) - OVERLAP), WINDOW - OVERLAP)]
+            windows.sort(key=lambda w: len(w[2]))
+            for g in range(0, len(windows), _GROUP):
+                part = windows[g : g + _GROUP]
+                x, lengths, _ = padded([(w[2], None) for w in part])
+                for (n, a, w), row in zip(part, self.scores(x, lengths)):
+                    # of two overlapping windows each rules its half of the overlap
+                    lead = 0 if a == 0 else OVERLAP // 2
+                    end = len(w) if a + len(w) >= len(scored[n]) else WINDOW - OVERLAP // 2
+                    scored[n][a + lead : a + end] = row[lead:end]
+            lengths = np.array([len(e) for e in scored])
+            e = np.zeros((len(scored), lengths.max(), K), np.float32)
+            for i, own in enumerate(scored):
+                e[i, : len(own)] = own
             tags = self.viterbi(e, lengths)
             for i in np.flatnonzero(tags.any(axis=1)):
-                n = part[i]
-                spans = [(a, b, retyped(lines[n][a:b], kind)) for a, b, kind in tag_spans(tags[i, : lengths[i]])]
-                out[n] = [s for s in spans if plausible(lines[n][s[0] : s[1]], s[2], self.plain)]
-        return out
+                yield pieces[lo + i], tags[i, : lengths[i]]
+
+
+def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Consecutive groups of at most _GROUP pieces whose padded size stays below _GROUP_CHARS (or of one piece)."""
+    start = 0
+    while start < len(sizes):
+        stop = start + 1
+        while stop < len(sizes) and stop - start < _GROUP and (stop - start + 1) * sizes[stop] <= _GROUP_CHARS:
+            stop += 1
+        yield start, stop
+        start = stop
 
 
 def padded(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,8 +403,8 @@ def retyped(text: str, kind: str) -> str:
     return kind
 
 
-def plausible(text: str, kind: str, plain: frozenset[str] = frozenset()) -> bool:
-    """Can the text be of this type at all? ``plain``: words that are no surnames."""
+def plausible(text: str, kind: str) -> bool:
+    """Can the text be of this type at all?"""
     digits = sum(c.isdigit() for c in text)
     if kind == "email":
         return bool(re.search(r"\w\s?(?:@|[\[(]at[\])]|\bat\b)\s?\w", text, re.I)) and bool(re.search(r"\w(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)\w", text, re.I))
@@ -386,11 +416,12 @@ def plausible(text: str, kind: str, plain: frozenset[str] = frozenset()) -> bool
         return digits > 0 and sum(c.isalpha() for c in text) >= 4
     words = re.findall(r"[^\W\d_]+", text)
     one_piece = not re.search(r"[^\W\d_]{4,}\. ", text)  # no sentence ends inside a name
-    return digits == 0 and len(words) >= 2 and one_piece and all(w[0].isupper() for w in words) and any(len(w) > 3 and w.lower() not in plain for w in words)
+    cased = all(w[0].isupper() for w in words) or len(words) <= 3 and text.islower()
+    return digits == 0 and len(words) >= 2 and one_piece and cased and any(len(w) > 3 for w in words)
 
 
-def training_set(texts: list[str], listed: set[str], windows: int = TRAIN_WINDOWS, seed: int = 4) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], frozenset[str]]:
-    """Windows of at most about 160 characters (originals with spans, varied copies, lines without spans), and plain words.
+def training_set(texts: list[str], listed: set[str], windows: int = TRAIN_WINDOWS, seed: int = 4) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Windows of at most about 160 characters: originals with spans, varied copies, lines without spans.
 
     Lines with a rare form are drawn more often than their number would give.
     """
@@ -405,7 +436,7 @@ def training_set(texts: list[str], listed: set[str], windows: int = TRAIN_WINDOW
         else:
             bare.append(line)
     if not marked:
-        return [], frozenset()
+        return []
     out = []
     forms = [tuple((k, re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", line[a:b]))) for a, b, k in spans) for line, spans in marked]
     often = Counter(forms)
@@ -444,19 +475,46 @@ def training_set(texts: list[str], listed: set[str], windows: int = TRAIN_WINDOW
         pool = hard if hard and n % 2 else bare
         if pool:
             out.append(crop(pool[rng.integers(len(pool))], []))
-    return [(t, s) for t, s in out if t], frozenset(names.plain)
+    return [(t, s) for t, s in out if t]
+
+
+def _stored(spark: SparkSession, digest: str) -> tuple[str, Tagger | None]:
+    """Where the weights of this digest belong, and the tagger if they are there."""
+    path = f"{shared_dir(spark)}/corvane-tagger-{digest}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return path, None
+    tagger = Tagger()
+    for r in spark.read.parquet(path).collect():  # nine arrays
+        tagger.p[r.name] = np.frombuffer(r.data, np.float32).reshape(list(r.shape)).copy()
+    return path, tagger
 
 
 def trained(docs: DataFrame, given_names: DataFrame | None, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, windows: int = TRAIN_WINDOWS, epochs: int = EPOCHS) -> Tagger | None:
-    """A tagger trained on the driver from at most ``sample_docs`` documents of at most SAMPLE_DOC_CHARS characters."""
+    """A tagger trained on the driver from at most ``sample_docs`` documents of at most SAMPLE_DOC_CHARS characters.
+
+    ``given_names`` only help to label that sample; more than MAX_NAMES are refused. The weights are stored in the shared
+    folder under a hash of the sample, the names and the settings.
+    """
+    spark = docs.sparkSession
     some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where((F.length("text") > 0) & (F.length("text") <= SAMPLE_DOC_CHARS))
     texts = [r.text for r in bounded_sample(some, ["id", "text"], sample_docs).collect()]
-    listed = {r[0] for r in given_names.select("given_name").where("given_name is not null").limit(10_000).collect()} if given_names is not None else set()
-    samples, plain = training_set(texts, listed, windows)
-    if not samples:
-        return None
-    tagger = Tagger(plain=plain)
-    tagger.fit(samples, epochs)
+    names = given_names.select("given_name").where("given_name is not null").distinct().limit(MAX_NAMES + 1).collect() if given_names is not None else []
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} given names")
+    listed = sorted(r[0] for r in names)
+    seen = hashlib.blake2b(repr((VERSION, windows, epochs, HIDDEN, listed)).encode(), digest_size=16)
+    for text in texts:
+        seen.update(hashlib.blake2b(text.encode("utf-8", "replace")).digest())
+    path, tagger = _stored(spark, seen.hexdigest())
+    if tagger is None:
+        samples = training_set(texts, set(listed), windows)
+        if not samples:
+            return None
+        tagger = Tagger()
+        tagger.fit(samples, epochs)
+        rows = [(k, list(v.shape), bytearray(v.tobytes())) for k, v in tagger.p.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("ignore").parquet(path)
     return tagger
 
 
@@ -472,10 +530,11 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def _read(tagger: Tagger, texts: list[str | None]) -> list[list[list[tuple[int, int, str]]]]:
-    """For each text the spans of each of its lines; a line that occurs several times is read once."""
-    lines = {line: None for t in texts if t for line in t.split("\n") if line.strip()}
-    spans = dict(zip(lines, tagger.tag_lines(list(lines))))
-    return [[spans.get(line, []) for line in t.split("\n")] if t else [] for t in texts]
+    """For each text the spans of each of its lines."""
+    lines = [t.split("\n") if t else [] for t in texts]
+    spans = tagger.tag_lines([line for t in lines for line in t])
+    ends = np.cumsum([0, *map(len, lines)]).tolist()
+    return [spans[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def find_pii(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ _CAP = r"[A-ZÀ-ÖØ-Þ][\wÀ-ÿ]*[a-zà-öø-ÿ]"
 _LOUD = r"[A-ZÀ-ÖØ-Þ]{2,}"
 OPENERS = {"Ask", "Only", "In", "By", "The", "Agreed", "According", "Drawn", "Reviewed", "Deliver", "Contact", "From", "To", "With", "For", "And", "Best", "Compare"}
 
+_SIGNED = re.compile(r"(?:^|, ?)((?:[^\W\d_]+ ){1,2}[^\W\d_]+)[ .!]*$")
 _PAIR = re.compile(rf"\b({_CAP}|{_LOUD}) (?=(?:[A-ZÀ-ÖØ-Þ]\. )?({_CAP}|{_LOUD})\b)")
 
 
@@ -98,6 +99,9 @@ class Names:
                 known = first.title() in self.given or re.fullmatch(_TITLE, first) or len(first.rstrip(".")) == 1
                 if known or (first.title() not in OPENERS and first.isalpha() and len(first) > 2):
                     out.append((lead.start(), b, "name"))
+        signed = _SIGNED.search(line)
+        if signed and signed[1].islower() and signed[1].split()[0].title() in self.given and self.is_surname(signed[1].split()[-1]):
+            out.append((*signed.span(1), "name"))
         return out
 
 
@@ -151,7 +155,9 @@ def varied(line: str, spans: list[tuple[int, int, str]], names: Names, rng: np.r
         if kind == "address":
             piece = re.sub(r"[A-ZÀ-ÖØ-Þ][a-zà-ÿ]{5,}", lambda m: _blurred(m[0], rng), piece)
             piece = piece.upper() if rng.random() < 0.12 and "rue" not in piece else piece
-        if kind == "name":
+        if kind == "name" and piece.islower():
+            piece = re.sub(r"[^\W\d_]+", lambda m: _other(m[0].title(), names, rng).lower(), piece)
+        elif kind == "name":
             piece = re.sub(rf"{_CAP}|{_LOUD}", lambda m: _other(m[0], names, rng), piece)
             piece = piece.upper() if loud else piece
         new.append((size, size + len(piece), kind))

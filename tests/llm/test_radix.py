@@ -56,7 +56,7 @@ def test_exchanged_columns():
     assert canon("the pump shall hold", "a; b") != canon("the pump shall hold", "a; c")
 
 
-@pytest.mark.parametrize("bucket_bytes,task_keys,task_bytes", [(2 << 20, 150_000, 48 << 20), (200, 7, 48 << 20), (30, 1, 90), (30, 99, 90)])
+@pytest.mark.parametrize("bucket_bytes,task_keys,task_bytes", [(2 << 20, 150_000, 48 << 20), (300, 7, 48 << 20), (60, 99, 90)])
 def test_copies_against_brute_force(spark, monkeypatch, bucket_bytes, task_keys, task_bytes):
     monkeypatch.setattr(radix, "TASK_KEYS", task_keys)
     monkeypatch.setattr(radix, "TASK_BYTES", task_bytes)
