@@ -1,7 +1,9 @@
 """A Bloom filter of bounded size, built by the executors, that thins out one side of a join before its shuffle.
 
 It only ever drops rows whose key is certainly absent, so the result is the same with any size; the size is
-``bits_per_key`` bits a key, but never more than ``max_bytes``, which bounds what is collected and broadcast.
+``bits_per_key`` bits a key, but never more than ``max_bytes``, which bounds what is collected and broadcast. Beyond that it
+lets more rows pass, so it may only stand before a shuffle that is in proportion to the input without it, too. Tasks merge
+their bits in two steps, so that the driver gets ``max_bytes`` at most.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 overlap = pytest.importorskip("corvane.llm.overlap")
@@ -80,7 +81,41 @@ def test_pairs_against_brute_force(spark, seed):
     want = brute(rows, 85)
     assert len(got) == len(set(got)) and set(got) <= want and len(want - set(got)) <= 0.02 * len(want)
     report = overlap.report(df).collect()
-    assert sum(r.n_pairs for r in report) == len(got)
+    split_of = {r[0]: r[3] for r in rows}
+    held = {next(p for p in pair if split_of[p] != "train") for pair in got}
+    assert sum(r.n_pairs for r in report) == len(got) and sum(r.n_overlapping for r in report) == len(held)
+
+
+def test_packing_and_meeting():
+    rng = np.random.default_rng(3)
+    keys, ids = rng.integers(0, 50, 300).astype(np.uint32), rng.integers(0, 2**48, 300, dtype=np.uint64)
+    k, i = overlap._unpacked([overlap._packed(keys, ids)])
+    assert sorted(zip(k.tolist(), i.tolist())) == sorted(zip(keys.tolist(), ids.tolist()))
+    held = rng.random(300) < 0.3
+    blocks = [(bool(h), overlap._packed(keys[m], ids[m])) for h in (False, True) for m in (np.flatnonzero(held == h)[::2], np.flatnonzero(held == h)[1::2])] * 2
+    old, overlap._PAIRS_AT_ONCE = overlap._PAIRS_AT_ONCE, 7
+    got = overlap._meet(pa.table({"held": [h for h, _ in blocks], "data": [d for _, d in blocks]}))
+    overlap._PAIRS_AT_ONCE = old
+    want = {(int(a), int(b)) for a, x in zip(ids[~held], keys[~held]) for b, y in zip(ids[held], keys[held]) if x == y}
+    assert len(got) == len(want) and set(zip(got["train_id"].to_pylist(), got["eval_id"].to_pylist())) == want
+
+
+def test_many_slices_and_hot_keys_give_the_same(spark):
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(30)]
+    rows = []
+    for pos in range(300):  # a third of all sets hardly differ, so that their band keys are hot
+        w = list(core) if pos % 3 else [f"w{rng.randrange(900)}" for _ in range(20)]
+        w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        rows.append((pos, " ".join(w), None, "train" if pos % 4 else "test", None))
+    df = spark.createDataFrame(rows, "pos long, req string, headers string, split string, f_prime string").repartition(3)
+    feats = overlap.features(df)
+    n = feats.count()
+    minhash = MinHash(overlap.ROWS, overlap.BANDS, overlap.POOL)
+    assert overlap._hot_keys(feats, n, minhash, 10**6) == {} and max(overlap._hot_keys(feats, n, minhash, 40).values()) >= 3
+    base = set(map(tuple, overlap._candidates(feats).collect()))
+    split = set(map(tuple, overlap._candidates(feats, slice_keys=50, split_rows=40).collect()))
+    assert base and base == split
 
 
 def test_no_rows(spark):
