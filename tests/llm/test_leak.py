@@ -29,7 +29,19 @@ def test_spans_cover_the_runs():
     keys, spans, n = p.scan("x ONE two, three\nfour y two three four five z one two")
     assert keys == {1} and spans == [(1, 5), (6, 10)] and n == 13
     assert leak.cut_spans("x ONE two, three\nfour y", [[1, 5]]) == "x  y"
-    assert leak.cut_spans("keep İİ one two three", [[2, 5]]).startswith("keep")
+    assert leak.cut_spans("Keep ßß One two three!", [[2, 5]]) == "Keep ßß !"
+    assert leak.cut_spans("Große Straße: One, two Cafe\u0301 x End ŉ", [[2, 5]]) == "Große Straße:  x End ŉ"
+    assert leak.cut_spans("A \u0928\u093c b \u1112\u1161\u11ab C dß", [[1, 3]]).endswith("\u1112\u1161\u11ab C dß")
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_places_of_words(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ß", "e\u0301", "İ", " ", "Ab", "_", ",", "ﬁ", "\u1112\u1161", "9", "Å", "\u0344", "\U0001d15e"]) for _ in range(40))
+    places = leak.word_places(text)
+    words = leak.words_of(text)
+    assert len(places) == len(words) and all(a < b for a, b in places) and places == sorted(places)
+    assert all(w in "".join(leak.normal(text[a:b])) for w, (a, b) in zip(words, places))
 
 
 def test_tables(spark):
@@ -39,6 +51,8 @@ def test_tables(spark):
     for limit in (8_000_000, 10):  # one block of items, or several
         got = sorted(map(tuple, leak.find_leaks(docs, items, max_item_chars=limit).collect()), key=str)
         assert got == sorted([(d, i) for d in (1, 2, 5, None) for i in (7, 8)], key=str)
+    same = [sorted(map(str, leak.mark_leaks(docs, items, max_item_chars=limit).collect())) for limit in (8_000_000, 10)]
+    assert same[0] == same[1]
     marked = leak.mark_leaks(docs, items).collect()
     assert len(marked) == 8
     by = {r.doc_id: r for r in marked}
