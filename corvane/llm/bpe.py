@@ -34,6 +34,13 @@ _CACHE_WORDS = 200_000
 _SLICE_CHARS = 4_000_000
 
 
+def whole_words(path: str = VOCABULARY) -> frozenset[str]:
+    """The vocabulary's tokens that are a whole word in small letters behind a blank; the vocabulary bounds their number."""
+    with open(path, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in f if line.strip())
+        return frozenset(t[1:] for t in tokens if t[:1] == " " and t[1:].isalpha() and t.islower())
+
+
 class Vocabulary:
     """Sorted pair keys with the merged id of each, and the id of each single byte."""
 
