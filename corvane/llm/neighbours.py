@@ -4,13 +4,16 @@ Learned partitions: on a bounded sample the exact neighbour graph is built and c
 bisection with swaps that lower the number of cut edges; a small network (one hidden layer) then learns, from each
 vector, how its neighbours are spread over the parts. Every vector is indexed in the part the network finds most likely,
 and as a query visits the most likely parts that make up ``MASS`` of the predicted spread, at most ``PROBES``, where it is
-ranked by its exact distances. The number of parts grows with the collection, so that the work for a query stays about the
-same. A query whose parts hold fewer than k others is searched in all blocks.
+ranked by its exact distances. A sample can tell only so many parts apart (one for 16 of its rows). Where a part has
+more than ``SPLIT`` times ``PART_ROWS`` vectors, it gets a graph, parts and a network of its own, fitted on an executor from
+a bounded sample of that part, and its queries go on to the likeliest parts below it; this is repeated, so that parts stay
+of the same size, and the work for a query about the same, however large the collection is. A query whose parts hold fewer
+than k others is searched in all blocks.
 
 * equal vectors are collapsed before the search and spread again after it, so a group of copies costs one query;
 * a part that is larger than ``BLOCK`` is searched in blocks and its queries come in chunks of ``CHUNK``; every block
   meets every chunk, so a hot part spreads over many tasks and nothing is left out;
-* only the sample (``SAMPLE`` vectors), the network and the number of rows of each part are ever on the driver.
+* only the first sample (``SAMPLE`` vectors) and its network are ever on the driver, and how many rows the largest part has.
 
 Defined cases: a row counts if it has a position and exactly ``DIM`` finite numbers; a position with several such vectors
 takes part once, with the least of them in array order, whatever its encoder; ties go to the lower position; with fewer
@@ -19,6 +22,7 @@ than k others all of them are neighbours; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,10 @@ PROBES = 8
 MASS = 0.92
 BLOCK = 8_192
 CHUNK = 16_384
+SPLIT, LEVELS = 4, 5
 _LEAST_SAMPLE_PER_PART = 16
+_LEAST_WEIGHT = 0.02
+_FAN = 1 << 12
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10, block: int = 1000) -> np.ndarray:
@@ -132,11 +139,11 @@ class Router:
                     v -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(ss / (1 - 0.999**step)) + 1e-8)
         return cls([mean.astype(np.float32), np.float32(scale), *w])
 
-    def ranked(self, x: np.ndarray, probes: int, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
-        """The most likely parts of each row, the most likely first, and how many of them make up ``mass`` of the
-        predicted spread (two at least, ``probes`` at most)."""
+    def ranked(self, x: np.ndarray, probes: int, mass: float = MASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The most likely parts of each row, the most likely first, how many of them make up ``mass`` of the predicted
+        spread (two at least, ``probes`` at most), and each one's share."""
         if not self.weights:
-            return np.zeros((len(x), 1), dtype=np.int32), np.ones(len(x), dtype=np.int64)
+            return np.zeros((len(x), 1), dtype=np.int64), np.ones(len(x), dtype=np.int64), np.ones((len(x), 1), np.float32)
         mean, scale, w0, b0, w1, b1 = self.weights
         o = np.maximum((x - mean) / scale @ w0 + b0, 0) @ w1 + b1
         o = np.exp(o - o.max(1, keepdims=True))
@@ -144,8 +151,17 @@ class Router:
         probes = min(probes, o.shape[1])
         top = np.argpartition(-o, probes - 1, axis=1)[:, :probes]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(o, top, axis=1), axis=1, kind="stable"), axis=1)
-        spread = np.cumsum(np.take_along_axis(o, top, axis=1), axis=1)
-        return top.astype(np.int32), np.clip((spread < mass).sum(1) + 1, min(2, probes), probes)
+        share = np.take_along_axis(o, top, axis=1)
+        return top.astype(np.int64), np.clip((np.cumsum(share, axis=1) < mass).sum(1) + 1, min(2, probes), probes), share
+
+
+def fitted(x: np.ndarray, n: int, part_rows: int) -> Router:
+    """The router of a sample ``x`` of ``n`` vectors."""
+    parts = max(1, min(-(-n // part_rows), len(x) // _LEAST_SAMPLE_PER_PART, _FAN))
+    if parts == 1:
+        return Router([])
+    graph = neighbour_graph(x)
+    return Router.fit(x, graph, balanced_parts(x, graph, parts), parts)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -197,44 +213,96 @@ def _search(k: int):
     return run
 
 
-def nearest_classes(classes: DataFrame, k: int = K, part_rows: int = PART_ROWS, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """``id, near``: for each id of ``classes`` (id, vec; vectors all different) its k nearest other ids, nearest first."""
-    spark = classes.sparkSession
-    n = classes.count()
+_VISITS = "id bigint, vec binary, part bigint, home boolean, weight float"
+
+
+def _below(rows: pa.Table, router: Router, probes: int) -> pa.Table:
+    """A row for each part below that a visit is passed on to: those that make up MASS, less those that are very unlikely
+    with the weight of the visit itself."""
+    part, home, weight = (rows.column(c).to_numpy() for c in ("part", "home", "weight"))
+    top, count, share = router.ranked(_matrix(rows.column("vec")), probes)
+    share = share * weight[:, None]
+    rank = np.arange(top.shape[1])[None, :]
+    row, at = np.nonzero((rank < count[:, None]) & ((rank == 0) | (share >= _LEAST_WEIGHT)))
+    some = rows.select(["id", "vec"]).take(pa.array(row))
+    return pa.table({"id": some.column(0), "vec": some.column(1), "part": top[row, at] + (part[row] + 1) * _FAN, "home": (at == 0) & home[row], "weight": share[row, at].astype(np.float32)})
+
+
+def visits_of(classes: DataFrame, n: int, part_rows: int = PART_ROWS, probes: int = PROBES, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
+    """``id, vec, part, home, weight``: the parts that each vector visits; it is indexed where ``home`` is true."""
     some = bounded_sample(classes.select("id", "vec"), ["id"], sample).select("vec").toArrow()
-    if some.num_rows == 0:
-        return classes.select("id", F.array().cast("array<bigint>").alias("near"))
-    x = _matrix(some.column("vec"))
-    parts = max(1, min(-(-n // part_rows), len(x) // _LEAST_SAMPLE_PER_PART))
-    graph = neighbour_graph(x) if parts > 1 else np.empty((len(x), 0), np.int32)
-    router = spark.sparkContext.broadcast(Router.fit(x, graph, balanced_parts(x, graph, parts), parts))
+    router = classes.sparkSession.sparkContext.broadcast(fitted(_matrix(some.column("vec")), n, part_rows))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ranked, count = router.value.ranked(_matrix(batch.column(1)), probes)
-                flat = ranked[np.arange(ranked.shape[1])[None, :] < count[:, None]]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "vec", "parts"])
-
-    routed = cut(classes.select("id", "vec").mapInArrow(route, "id bigint, vec binary, parts array<int>"), "neighbours-routed")
-    # sizes of the parts: at most ``parts`` numbers
-    homes = {r.part: r["count"] for r in routed.groupBy(F.col("parts")[0].alias("part")).count().collect()}
-    visits = {r.part: r["count"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
-    sizes = spark.createDataFrame([(p, -(-homes.get(p, 1) // block), -(-visits.get(p, 1) // chunk)) for p in range(parts)], "part int, blocks int, chunks int")
-    index = routed.select("id", "vec", F.col("parts")[0].alias("part")).join(F.broadcast(sizes), "part")
+                top, count, share = router.value.ranked(_matrix(batch.column(1)), probes)
+                keep = np.arange(top.shape[1])[None, :] < count[:, None]
+                ends = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (top[keep], share[keep].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists], ["id", "vec", "parts", "weights"])
+
+    # each vector is written once here, with the parts as a list
+    routed = cut(classes.select("id", "vec").mapInArrow(route, "id bigint, vec binary, parts array<bigint>, weights array<float>"), "neighbours-routed")
+    visits = routed.select("id", "vec", F.posexplode(F.arrays_zip("parts", "weights")).alias("at", "to"))
+    visits = visits.select("id", "vec", F.col("to.parts").alias("part"), (F.col("at") == 0).alias("home"), F.col("to.weights").alias("weight"))
+    for _ in range(LEVELS):
+        sizes = visits.groupBy("part").agg(F.count_if("home").alias("homes"), F.count("*").alias("visits"))
+        large = cut(sizes.where(F.col("homes") > SPLIT * part_rows), "neighbours-large")
+        before = large.agg(F.max("homes").alias("n")).first().n
+        if before is None:
+            break
+        split = cut(_split(visits, large, part_rows, probes, sample, chunk), "neighbours-visits")
+        visits = visits.join(large.select("part"), "part", "left_anti").select("id", "vec", "part", "home", "weight").unionByName(split)
+        if split.where("home").groupBy("part").count().agg(F.max("count").alias("n")).first().n >= before:
+            break  # vectors that no network tells apart; blocks take care of them
+    return visits
+
+
+def _split(visits: DataFrame, large: DataFrame, part_rows: int, probes: int, sample: int, chunk: int) -> DataFrame:
+    """The visits of the parts in ``large``, passed on to the parts below."""
+    inside = visits.join(large, "part")
+    share = F.least(F.lit(1.0), F.lit(1.1 * sample) / F.col("homes"))
+    drawn = inside.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30)))
+
+    def fit(table: pa.Table) -> pa.Table:
+        got = fitted(_matrix(table.column("vec")), table.column("homes")[0].as_py(), part_rows)
+        return pa.table({"part": table.column("part").slice(0, 1), "router": pa.array([pickle.dumps(got.weights)], pa.binary())})
+
+    routers = cut(drawn.select("part", "homes", "vec").groupBy("part").applyInArrow(fit, "part bigint, router binary"), "neighbours-routers")
+    chunks = F.ceil(F.col("visits") / F.lit(chunk)).cast("int")
+    sent = routers.join(large, "part").select("part", "router", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    dealt = inside.select("id", "vec", "part", "home", "weight", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+
+    def route(own: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows or not own.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("vec", pa.binary()), ("part", pa.int64()), ("home", pa.bool_()), ("weight", pa.float32()))})
+        return _below(rows, Router(pickle.loads(own.column("router")[0].as_py())), probes)
+
+    return sent.groupBy("part", "chunk").cogroup(dealt.groupBy("part", "chunk")).applyInArrow(route, _VISITS)
+
+
+def nearest_classes(classes: DataFrame, k: int = K, part_rows: int = PART_ROWS, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """``id, near``: for each id of ``classes`` (id, vec; vectors all different) its k nearest other ids, nearest first."""
+    n = classes.count()
+    if n == 0:
+        return classes.select("id", F.array().cast("array<bigint>").alias("near"))
+    visits = visits_of(classes, n, part_rows, probes, sample, chunk)
+    sizes = visits.groupBy("part").agg(F.ceil(F.count_if("home") / F.lit(block)).cast("int").alias("blocks"), F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    sizes = cut(sizes.where("blocks > 0"), "neighbours-sizes")
+    index = visits.where("home").select("id", "vec", "part").join(sizes, "part")
     index = index.select("id", "vec", "part", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    asked = routed.select("id", "vec", F.explode("parts").alias("part")).join(F.broadcast(sizes), "part")
-    asked = asked.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("part").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
+    asked = visits.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("part").alias("part")).join(sizes, "part")
+    asked = asked.select("id", "vec", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"))
     keys = ["part", "block", "chunk"]
     near = cut(_best(index, asked, keys, k), "neighbours-near")
-    short = routed.select("id", "vec").join(near.where(F.size("near") >= min(k, n - 1)).select("id"), "id", "left_anti")
+    short = classes.select("id", "vec").join(near.where(F.size("near") >= min(k, n - 1)).select("id"), "id", "left_anti")
     missing = short.count() if n > 1 else 0
     if missing:
         blocks, chunks = -(-n // block), -(-missing // chunk)
         number = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
         every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-        index = routed.select("id", "vec", number(blocks).alias("block"), every(chunks).alias("chunk"))
+        index = classes.select("id", "vec", number(blocks).alias("block"), every(chunks).alias("chunk"))
         asked = short.select(F.col("id").alias("id"), F.col("vec").alias("vec"), every(blocks).alias("block"), number(chunks).alias("chunk"))
         near = near.join(short.select("id"), "id", "left_anti").unionByName(_best(index, asked, ["block", "chunk"], k))
     return near

@@ -54,6 +54,28 @@ def test_parts_with_too_few_vectors(spark, monkeypatch):
     assert len(got) == 60 and all(len(v) == 5 for v in got.values())
 
 
+def test_levels_keep_the_work_for_a_query(spark):
+    """A sample that tells 20 parts apart: without levels the parts of ten times the vectors would be ten times as large."""
+    how = {"part_rows": 40, "sample": 320}
+    work = {}
+    for n in (1000, 10_000):
+        x = clustered(n)
+        rows = [(i, v.tobytes()) for i, v in enumerate(x)]
+        classes = spark.createDataFrame(rows, "id long, vec binary").repartition(4)
+        visits = neighbours.visits_of(classes, n, **how).toPandas()
+        homes = visits[visits.home]
+        assert len(homes) == n and homes.id.nunique() == n
+        sizes = homes.groupby("part").size()
+        work[n] = visits.part.map(sizes).fillna(0).groupby(visits.id).sum().mean()
+        if n == 10_000:
+            assert sizes.max() <= neighbours.SPLIT * how["part_rows"]
+            got = {r.id: r.near for r in neighbours.nearest_classes(classes, **how).collect()}
+            want = brute(x[:300], 5) if n <= 300 else np.stack([np.lexsort((np.arange(n), ((x - x[i]).astype(np.float64) ** 2).sum(1) + (np.arange(n) == i) * 1e9))[:5] for i in range(0, n, 50)])
+            recall = np.mean([len(set(got[i]) & set(w.tolist())) / 5 for i, w in zip(range(0, n, 50), want)])
+            assert recall >= 0.95, recall
+    assert work[10_000] < 2 * work[1000], work
+
+
 def test_parts_are_balanced():
     x = clustered(800)
     label = neighbours.balanced_parts(x, neighbours.neighbour_graph(x), 7)
