@@ -217,6 +217,8 @@ def _candidates(feats: DataFrame, slice_keys: int = SLICE_KEYS, split_rows: int
         return pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]]), pa.array([side] * len(data)), pa.array(data, pa.binary())], ["slice", "held", "data"])
 
     blocks = sets.select("held", "wid", "words").mapInArrow(run, "slice bigint, held boolean, data binary")
+    # two slices a task whatever the session's number of shuffle partitions
+    blocks = blocks.repartition(max(1, (slices + int(hot_parts.sum())) // 2), "slice")
     return blocks.groupBy("slice").applyInArrow(_meet, "train_id bigint, eval_id bigint").distinct()
 
 
