@@ -73,4 +73,17 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_report, p4_found, p5_found, p5_collapsed, p6_found, p6_report, p7_ids, p8_found, p8_cleaned, p9_found, p9_redacted)}
-SQL: dict[str, str] = {}
+
+_LETTERS = "regexp_replace(lower(nfc_normalize({0})), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_ENTRIES = f"list_sort(list_filter(list_transform(string_split_regex(req || ';' || coalesce(headers, ''), '[;>|]'), lambda t: {_LETTERS.format('t')}), lambda t: t <> ''))"
+_GROUPS = f"SELECT pos, min(pos) OVER (PARTITION BY k) AS first_pos FROM (SELECT pos, {_ENTRIES} AS k FROM gold WHERE req IS NOT NULL AND pos IS NOT NULL)"
+_RUNS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL))"
+
+SQL: dict[str, str] = {
+    "p4_found": "WITH v AS (SELECT pos, CAST(min(vec) AS DOUBLE[]) AS x FROM req_vectors WHERE len(vec) = 64 GROUP BY pos), "
+    "n AS (SELECT a.pos AS p, b.pos AS q, row_number() OVER (PARTITION BY a.pos ORDER BY list_distance(a.x, b.x), b.pos) AS r FROM v a JOIN v b ON a.pos <> b.pos) "
+    "SELECT DISTINCT least(p, q) AS pos_a, greatest(p, q) AS pos_b FROM n WHERE r <= 5",
+    "p5_found": f"SELECT first_pos, pos AS copy_pos FROM ({_GROUPS}) WHERE pos <> first_pos",
+    "p5_collapsed": f"SELECT first_pos, count(*) AS n_copies FROM ({_GROUPS}) GROUP BY first_pos",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format('doc_id', 'documents')}) JOIN ({_RUNS.format('item_id', 'eval_items')}) USING (run)",
+}
