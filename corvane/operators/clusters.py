@@ -6,16 +6,23 @@ partial sums), so a cluster of any size is summed in parallel; they are joined b
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.distances import l2
+from corvane.operators.records import numbered
+from corvane.session import cut
 
 N_CLUSTERS = 10
+ELBOW = range(2, 81)
 
 
 def centres(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -41,6 +48,14 @@ def bins(df: DataFrame, key: str = "vec_id", label: str = "label", singles: bool
     return out if singles else out.where(F.size("members") > 1)
 
 
+def members(df: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
+    """``label, place, key``: the members of each cluster in order, one row each, for clusters of any size."""
+    place = F.struct(label, key)
+    every = numbered(df.select(label, key, place.alias("_o")), "_o", "_n")
+    first = every.groupBy(label).agg(F.min("_n").alias("_first"))
+    return every.join(first, label).select(label, (F.col("_n") - F.col("_first")).alias("place"), key)
+
+
 def distortion(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """``distortion``, the mean distance to the nearest centre, and ``inertia``, the sum of squared distances to the own."""
     every = centres(df, label, vec).agg(F.collect_list("centre")).scalar()  # one entry for each cluster
@@ -89,16 +104,20 @@ def kmeans(df: DataFrame, k: int = N_CLUSTERS, seed: int = 0, vec: str = "embedd
     return model, model.transform(rows).drop("features")
 
 
-def elbow(df: DataFrame, ks: list[int], key: str = "vec_id", vec: str = "embedding", seed: int = 0) -> DataFrame:
-    """``k, inertia, distortion, silhouette`` for each number of clusters, with one fit for each."""
-    rows = df.where(F.col(vec).isNotNull()).cache()
-    out = None
-    for k in ks:
-        model, marked = kmeans(rows, k, seed, vec)
-        own = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-        d = marked.join(F.broadcast(own), "cluster").agg(F.avg(l2(vec, "centre")).alias("distortion"))
-        line = d.select(F.lit(k).alias("k"), F.lit(float(model.summary.trainingCost)).alias("inertia"), "distortion", silhouette(marked, key, "cluster", vec).scalar().alias("silhouette"))
-        out = line if out is None else out.unionByName(line)
-    return out
+def elbow(df: DataFrame, ks: Iterable[int] = ELBOW, key: str = "vec_id", vec: str = "embedding", seed: int = 0, at_once: int = 6) -> DataFrame:
+    """``k, inertia, distortion, silhouette`` for each number of clusters, with one fit for each, ``at_once`` at a time.
 
+    Numbers of clusters that the rows cannot fill are left out; only the four numbers of each k come to the driver.
+    """
+    rows = cut(df.where(F.col(vec).isNotNull()).select(key, vec), "elbow")
+    spark, n = rows.sparkSession, rows.count()
+
+    def one(k: int) -> tuple[int, float, float, float]:
+        model, marked = kmeans(rows, k, seed, vec)
+        own = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+        d = marked.join(F.broadcast(own), "cluster").agg(F.avg(l2(vec, "centre"))).first()[0]
+        return k, float(model.summary.trainingCost), float(d), float(silhouette(marked, key, "cluster", vec).first()[0])
 
+    with ThreadPoolExecutor(at_once) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(one), [k for k in ks if k < n]))
+    return spark.createDataFrame(lines, "k int, inertia double, distortion double, silhouette double")

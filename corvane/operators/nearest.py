@@ -14,14 +14,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.distances import l2
 from corvane.operators.records import numbered
 
 BLOCK = 2_048
-GROWING_BLOCKS = 256  # a growing pool is cut into at most so many blocks, larger ones if need be
 DECIMALS = 9
 
 
@@ -70,22 +69,20 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, key: str = "id", vec: s
     """
     order = seq or key
     q, p = _vectors(queries, key, vec, order, dim), _vectors(pool, key, vec, order, dim)
-    n_q, n_p = -(-max(1, q.count()) // block), -(-max(1, p.count()) // block)
     if seq is None:
+        n_q, n_p = -(-max(1, q.count()) // block), -(-max(1, p.count()) // block)
         q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)))
         p = p.withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(n_p)))
         q = q.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)).cast("array<bigint>")))
         p = p.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
     else:
-        # blocks of consecutive seq, by approximate quantiles: a block of queries needs the pool blocks up to its own
-        n_p = min(n_p, GROWING_BLOCKS)
-        edges = p.approxQuantile("seq", [i / n_p for i in range(1, n_p)], 0.0005) if n_p > 1 else []
-        place: Column = F.lit(0).cast("bigint")
-        for e in dict.fromkeys(edges):
-            place = place + F.when(F.col("seq") > e, 1).otherwise(0)
-        last = len(dict.fromkeys(edges))
-        q = q.withColumn("qb", place).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb"))))
-        p = p.withColumn("pb", place).withColumn("qb", F.explode(F.sequence(F.col("pb"), F.lit(last).cast("bigint"))))
+        # blocks of ``block`` consecutive places: a block of queries needs the pool blocks up to its own
+        places = numbered(q.select("seq").union(p.select("seq")).distinct(), "seq", "place")
+        places = places.select("seq", F.floor(F.col("place") / F.lit(block)).cast("bigint").alias("own"))
+        last = (q.select("seq").union(p.select("seq")).distinct().count() - 1) // block
+        q, p = q.join(places, "seq"), p.join(places, "seq")
+        q = q.withColumn("qb", F.col("own")).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))))
+        p = p.withColumn("pb", F.col("own")).withColumn("qb", F.explode(F.sequence(F.col("own"), F.lit(max(last, 0)).cast("bigint"))))
     q, p = (d.select(F.col("id").alias("id"), F.col("seq").alias("seq"), F.col("vec").alias("vec"), F.col("qb").alias("qb"), F.col("pb").alias("pb")) for d in (q, p))
     hits = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(_match(k, seq is not None), "id bigint, other bigint, distance double")
     best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "other"))), 1, k).alias("best"))

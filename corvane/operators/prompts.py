@@ -103,6 +103,29 @@ def fixed_samples(pool: DataFrame, strategy: str, ids: list[int] | None = None,
     return rows.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.s).alias("samples"))
 
 
+def generated(
+    records: DataFrame, pool: DataFrame, strategy: str, style: str = "formula", headers: bool = True, neighbours: DataFrame | None = None, ids: list[int] | None = None, n: int = 0, sorting: str = "asc", seed: int = 0, answer: str = "f_prime", key: str = "id"
+) -> DataFrame:
+    """``key, prompt`` for every record (key, req, headers): any style with any strategy.
+
+    'most similar' takes each record's ``neighbours`` (id, other, rank) from the pool (key, req, headers, answer) in
+    ``sorting``, which the chat styles don't have (nearest first); 'ids' and 'random' give all records the same samples.
+    """
+    strategy = strategy.lower().strip()
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
+    shown = records.select(F.col(key), "req", "headers")
+    if strategy == "most similar":
+        if neighbours is None:
+            raise ValueError("'most similar' needs neighbours")
+        own = with_samples(neighbours, pool, "asc" if style.endswith("chat") else sorting, seed, answer, key)
+        none = F.array().cast("array<struct<req:string,headers:string,answer:string>>")
+        shown = shown.join(own.select(F.col("id").alias(key), "samples"), key, "left").withColumn("samples", F.coalesce("samples", none))
+    else:
+        shown = shown.withColumn("samples", fixed_samples(pool, strategy, ids, n, seed, answer).scalar())
+    return shown.select(key, prompt("samples", "req", "headers" if headers else None, style).alias("prompt"))
+
+
 def answered(df: DataFrame, responder: Callable[[list[str]], list[list[str]]], column: str = "prompt", into: str = "f", retries: int = 3) -> DataFrame:
     """Adds the model's answer to every prompt; ``responder`` maps a batch of prompts to the choices of each.
 

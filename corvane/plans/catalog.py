@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import distances, formula, graph
-from corvane.operators import clusters, nearest, prompts, records, rejects, reports, sampling, series, stats
+from corvane.operators import clusters, measures, nearest, prompts, records, rejects, reports, sampling, series, stats
 from corvane.plans import sql
 from corvane.session import load
 from corvane.sources import flatfile
@@ -232,6 +232,25 @@ def semantic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("vec_id", *(F.round(f("x", "y"), 6).alias(n) for n, f in (("cosine", distances.cosine_similarity), ("semantic", distances.semantic), ("l2", distances.l2))))
 
 
+_MEASURED = " JOIN ".join(f"({SQL[n]}) {n} USING (pos)" for n in ("wer_scores", "edit_scores", "changed_parts", "chrf_scores"))
+
+
+@query(f"SELECT pos, jaccard, wer_max AS wer, edit, parts, chrf FROM ({SQL['jaccard_scores']}) j JOIN {_MEASURED}")
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """Several metrics by their names in one pass."""
+    rows = load(spark, d, "gold").select("pos", "f", "f_prime", "ignore_flag")
+    names = ["jaccard", "wer", "edit", "parts", "chrf"]
+    got = measures.evaluated(rows, names, wer_max=True).select("pos", *names)
+    return _rounded(got.withColumn("edit", F.col("edit").cast("bigint")), "jaccard", "wer", "parts", "chrf")
+
+
+@query(f"SELECT pos, CASE WHEN {sql.ELIGIBLE} THEN round(CASE WHEN pos % 2 = 0 THEN pos ELSE edit END / CAST(len({_TG}) AS DOUBLE), 6) END AS norm_edit FROM gold JOIN ({SQL['edit_scores']}) USING (pos)")
+def normalised_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Distances that some records already have are taken as they are."""
+    rows = load(spark, d, "gold").select("pos", "f", "f_prime", "ignore_flag", F.when(F.col("pos") % 2 == 0, F.col("pos")).alias("edit"))
+    return _rounded(measures.evaluated(rows, ["jaccard", "edit"], normalize=True).select("pos", "norm_edit"), "norm_edit")
+
+
 # ---- neighbours and prompts
 
 _KNN = (
@@ -294,6 +313,28 @@ def fewshot_prompts(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("id", prompts.prompt(F.coalesce("samples", none), "req", "headers").alias("prompt"))
 
 
+def _similar(spark: SparkSession, d: str, **how) -> DataFrame:
+    embedded = _embedded(spark, d)
+    gold = load(spark, d, "gold").select(F.col("pos").alias("id"), "req", "headers", "f_prime")
+    return prompts.generated(embedded.select("id").join(gold, "id"), gold, "most similar", neighbours=nearest.few_shot(embedded, N_SAMPLES), **how)
+
+
+@query(
+    f"WITH {_POOL}, s AS (SELECT k.id, string_agg({_none('g.req')} || ':' || {_none('g.f_prime')} || ', ', '' ORDER BY rank) AS t FROM k JOIN gold g ON g.pos = k.other GROUP BY k.id) "
+    f"SELECT e.id, {_quoted(prompts.FORMULA_CHAT_PREFIX)} || coalesce(t, '') || {_quoted(prompts.FORMULA_CHAT_SUFFIX)} || {_none('g.req')} AS prompt FROM e JOIN gold g ON g.pos = e.id LEFT JOIN s ON s.id = e.id"
+)
+def similar_chat_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d, style="formula chat")
+
+
+@query(
+    f"WITH {_POOL}, s AS (SELECT k.id, string_agg('Requirement: ' || {_none('g.req')} || chr(10) || 'Concepts: ' || {_none('g.f_prime')} || chr(10), '' ORDER BY rank) AS t FROM k JOIN gold g ON g.pos = k.other GROUP BY k.id) "
+    f"SELECT e.id, {_quoted(prompts.CONCEPT_CHAT_PREFIX)} || coalesce(t, '') || 'My first requirement is: ' || {_none('g.req')} || chr(10) || 'Concepts:' AS prompt FROM e JOIN gold g ON g.pos = e.id LEFT JOIN s ON s.id = e.id"
+)
+def concept_chat_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d, style="concepts chat", headers=False)
+
+
 _IDS_SAMPLES = f"s AS (SELECT string_agg({_none('req')} || ':' || {_none('f_prime')} || ', ', '' ORDER BY list_position({CONFIGURED_IDS}, id)) AS t FROM ({sql.BY_ID}) WHERE id IN ({', '.join(map(str, CONFIGURED_IDS))}) AND f_prime IS NOT NULL AND NOT coalesce(lower(ignore_flag) IN ('yes', '1', 'true'), false))"
 
 
@@ -315,6 +356,17 @@ def concept_prompts(spark: SparkSession, d: str) -> DataFrame:
     return gold.select("pos", "req", "headers").withColumn("samples", samples.scalar()).select("pos", prompts.prompt("samples", "req", "headers", "concepts").alias("prompt"))
 
 
+@query("SELECT pos, CASE WHEN req IS NULL THEN NULL WHEN length(req) % 3 = 0 THEN '' ELSE 'A ⊑ ' || length(req) || '|again' END AS f FROM gold")
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The model call with a stand-in that answers by the prompt's length: choices joined, empty ones asked again, then ''."""
+
+    def stand_in(texts: list[str]) -> list[list[str]]:
+        return [["A ⊑ ", str(len(t)), "|again"] if len(t) % 3 else [" "] for t in texts]
+
+    got = prompts.answered(load(spark, d, "gold").select("pos", "req"), stand_in, "req")
+    return got.select("pos", F.when(F.trim("f") == "", "").otherwise(F.col("f")).alias("f"))
+
+
 # ---- statistics over runs
 
 
@@ -419,6 +471,11 @@ def cluster_bins(spark: SparkSession, d: str) -> DataFrame:
     return clusters.bins(load(spark, d, "embeddings")).select("label", F.array_join("members", " ").alias("members"))
 
 
+@query("SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, vec_id FROM embeddings")
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.members(load(spark, d, "embeddings"))
+
+
 @query(
     f"WITH {_CENTRE} SELECT round((SELECT avg(m) FROM (SELECT min(list_distance(CAST(embedding AS DOUBLE[]), centre)) AS m FROM embeddings, c GROUP BY vec_id)), 6) AS distortion, round((SELECT sum(list_distance(CAST(embedding AS DOUBLE[]), centre) ** 2) FROM embeddings JOIN c USING (label)), 6) AS inertia"
 )
@@ -442,7 +499,7 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_elbow(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(clusters.elbow(load(spark, d, "embeddings"), [2, 5, 10, 20]), "inertia", "distortion", "silhouette")
+    return _rounded(clusters.elbow(load(spark, d, "embeddings")), "inertia", "distortion", "silhouette")
 
 
 @query(
@@ -497,10 +554,10 @@ def flat_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pos", flatfile.rendered(rows).alias("text"))
 
 
-@query(f"SELECT pos, {_flat_sql(False)} AS text FROM gold")
+@query(f"SELECT pos, {_flat_sql(False)} AS text FROM (SELECT * REPLACE (coalesce(id, row_number() OVER (ORDER BY pos) - 1) AS id) FROM gold)")
 def flat_text_list(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "gold").select("pos", "id", "req", "headers", "f", "f_prime", "note", "ignore_flag")
-    return rows.select("pos", flatfile.rendered(rows, canonical=False).alias("text"))
+    rows = records.numbered(load(spark, d, "gold").select("pos", "id", "req", "headers", "f", "f_prime", "note", "ignore_flag"), "pos")
+    return rows.select("pos", flatfile.rendered(rows, False, F.col("n")).alias("text"))
 
 
 _FLAT = (
@@ -523,7 +580,9 @@ def flat_records(spark: SparkSession, d: str) -> DataFrame:
     return _flat_records(spark, d).select(F.col("name").alias("doc_id"), "record_no", F.explode("kv").alias("key", "value"))
 
 
-@query()
+@query(
+    f"WITH {_FLAT} SELECT r.doc_id, CAST(r.record_no AS BIGINT) AS record_no, '{{' || coalesce(string_agg(CAST(to_json(key) AS VARCHAR) || ':' || CAST(to_json(value) AS VARCHAR), ',' ORDER BY key) FILTER (value <> ''), '') || '}}' AS value FROM u r GROUP BY ALL"
+)
 def jsonl_records(spark: SparkSession, d: str) -> DataFrame:
     return flatfile.jsonl_of(_flat_records(spark, d)).withColumnRenamed("name", "doc_id")
 

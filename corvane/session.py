@@ -31,25 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_CUTS: list[str] = []
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended, and with it the means to delete
-        pass
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written so far, and tells how many there were.
+
+    To be called once the results that were made from them have been written or collected.
+    """
+    n = 0
+    while _CUTS:
+        _remove(spark, _CUTS.pop())
+        n += 1
+    return n
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if _CUTS and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read again.
 
     The result has no lineage but that table, so a lost executor costs a re-read and nothing is computed twice. The
-    table goes when the Python process ends.
+    table goes with ``release``, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{what}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _CUTS:
+        atexit.register(_at_exit, spark)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

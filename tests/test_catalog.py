@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from conftest import TESTDATA
 
+from corvane.operators import clusters
 from corvane.plans import catalog
 
 SF = TESTDATA / "sf0.001"
@@ -39,9 +40,37 @@ def test_query_equals_its_sql(spark, con, name):
     assert rows([r[c] for c in cols] for r in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, str(SF)).count() >= 0
+def value(con, statement):
+    return con.execute(statement).fetchone()[0]
+
+
+def test_rows_that_fail_and_rows_that_load_are_all_rows(spark, con):
+    bad = catalog.QUERIES["p3_found"](spark, str(SF))
+    assert bad.select("raw_id").distinct().count() == bad.count()
+    assert bad.count() + catalog.QUERIES["p3_loaded"](spark, str(SF)).count() == value(con, "SELECT count(*) FROM gold_raw")
+
+
+def test_edit_rate_scores_exactly_the_eligible(spark, con):
+    scores = catalog.QUERIES["ter_scores"](spark, str(SF))
+    assert scores.count() == value(con, "SELECT count(*) FROM gold") and scores.where("ter is not null").count() == scores.where("ter >= 0 and ter <= 1").count() > 0
+
+
+def test_graph_distance_is_zero_for_equal_formulas_only(spark, con):
+    gold = spark.read.parquet(f"{SF}/gold.parquet")
+    scores = catalog.QUERIES["graph_edit_scores"](spark, str(SF)).join(gold.select("pos", "f", "f_prime"), "pos")
+    assert scores.where("f = f_prime and graph_edit <> 0").count() == 0 and scores.where("graph_edit > 0").count() > 0
+    parts = catalog.QUERIES["graph_parts"](spark, str(SF))
+    assert parts.select("pos").distinct().count() == value(con, "SELECT count(*) FROM gold WHERE f_prime IS NOT NULL")
+
+
+def test_every_row_gets_one_cluster(spark, con):
+    got = catalog.QUERIES["kmeans_clusters"](spark, str(SF))
+    assert got.count() == got.select("vec_id").distinct().count() == value(con, "SELECT count(*) FROM embeddings") and got.select("cluster").distinct().count() == 10
+
+
+def test_elbow_falls(spark):
+    got = {r.k: r for r in clusters.elbow(spark.read.parquet(f"{SF}/embeddings.parquet"), [2, 8, 30]).collect()}
+    assert got[2].inertia > got[8].inertia > got[30].inertia and all(-1 <= r.silhouette <= 1 for r in got.values()) and list(clusters.ELBOW) == list(range(2, 81))
 
 
 def test_entry(spark):

@@ -18,7 +18,7 @@ def test_flat_files_are_read(spark, tmp_path):
 def test_flat_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, 1, "r2", "h", "F ⊑ G", "A ⊑ B", None), (1, 2, "r1", "", "", "", "n")], "id long, pos long, req string, headers string, f string, f_prime string, note string")
     out = str(tmp_path / "out")
-    flatfile.write_flat(df, out, ["id"])
+    flatfile.write_flat(df, out, "id", one_file=True)
     got = sorted(flatfile.read_flat(spark, out + "/*.txt").collect(), key=lambda r: r.id)
     assert [(r.id, r.req, r.headers, r.f, r.f_prime, r.note) for r in got] == [(1, "r1", "", "", "", "n"), (2, "r2", "h", "F ⊑ G", "A ⊑ B", None)]
     absent = df.withColumn("f_prime", F.lit(None).cast("string"))
@@ -26,6 +26,34 @@ def test_flat_files_round_trip(spark, tmp_path):
     assert "F-prime" not in absent.select(flatfile.rendered(absent, canonical=False).alias("t")).first().t
 
 
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    n = 400
+    (tmp_path / "g.txt").write_text("lead\n" + "".join(f"id: {i}\nreq: r{i} {'x' * (i % 50)}\n\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = flatfile.read_flat(spark, str(tmp_path / "g.txt"))
+        assert spark.read.text(str(tmp_path / "g.txt")).rdd.getNumPartitions() > 5
+        got = {r.pos: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(got) == n and all(got[i + 1].id == i and got[i + 1].req == f"r{i} {'x' * (i % 50)}".strip() for i in range(n))
+
+
+def test_list_writer_numbers_and_files_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(k, None if k % 3 else 100 + k, f"r{k}") for k in range(50)], "pos long, id long, req string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        flatfile.write_flat(df, str(tmp_path / "many"), "pos", canonical=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "many").glob("*.txt"))
+    text = "".join(f.read_text() for f in files)
+    assert len(files) > 1 and [line for line in text.split("\n") if line.startswith("id")] == [f"id: {k if k % 3 else 100 + k}" for k in range(50)]
+
+
 def test_json_lines_and_orders(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "req": "r", "F-prime": "A ⊑ B"}\n{"id": 2, "meta": {"org": "o", "headers": "h"}}\n')
     got = sorted(flatfile.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect(), key=lambda r: r.id)
