@@ -85,6 +85,25 @@ def test_nearest_of_copies_and_empty_pools(spark):
     assert nearest.nearest(df, df.where("false"), 2).count() == 0 and nearest.few_shot(df.where("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 8192])
+def test_growing_pool_sends_no_vector_to_every_block(spark, block, monkeypatch, capsys):
+    monkeypatch.setattr(nearest, "GROWING", block, raising=False)
+    x, df = vectors(spark, 150, dim=8)
+    x[40:] = x[7]  # more copies than any surplus of candidates
+    df = df.drop("vec").join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>"), "id")
+    found = nearest.few_shot(df.repartition(5), 4, dim=8)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and "CoGroup" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, {})[r.rank] = (r.other, r.distance)
+    for i in range(2, 150):
+        pool = [j for j in range(i) if j % 3]
+        want = sorted((round(float(np.linalg.norm(x[j].astype(float) - x[i].astype(float))), 9), j) for j in pool)[: min(i - 1, 4)]
+        assert [(got[i][k + 1][1], got[i][k + 1][0]) for k in range(len(want))] == want, i
+
+
 def test_prompts(spark):
     pool = spark.createDataFrame([(1, "r1", "h1", "A ⊑ B"), (2, "r2", None, "C ⊑ D")], "id long, req string, headers string, f_prime string")
     near = spark.createDataFrame([(9, 1, 1), (9, 2, 2)], "id long, other long, rank int")
