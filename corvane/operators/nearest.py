@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +151,9 @@ def _earlier(table: DataFrame, k: int, block: int) -> DataFrame:
             yield batch, _stack(pa.chunked_array([batch.column("vec")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number in (i for batch in batches for i in batch.column(0).to_pylist()):
-            before, path, start, stop = parts[number]
+        for _ in batches:
+            pass
+        for before, path, start, stop in parts[TaskContext.get().partitionId() :][:1]:
             got, at = [], 0
             for batch, vec in rows(path, ["id", "seq", "vec", "whole"]):
                 piece = slice(max(0, start - at), max(0, stop - at))
@@ -176,7 +178,8 @@ def _earlier(table: DataFrame, k: int, block: int) -> DataFrame:
                 r, c = row[a : a + (1 << 14)], rank[a : a + (1 << 14)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r].astype(np.int64)), pa.array(best.other[r, c]), pa.array(best.distance[r, c]), pa.array((c + 1).astype(np.int32))], ["id", "other", "distance", "rank"])
 
-    return table.sparkSession.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "id bigint, other bigint, distance double, rank int")
+    # a partition for each block, and as many numbers as there are neighbours, or Spark takes the result for a small one and broadcasts it
+    return table.sparkSession.range(0, before * k, 1, max(1, len(parts))).mapInArrow(run, "id bigint, other bigint, distance double, rank int")
 
 
 def few_shot(records: DataFrame, k: int, usable: str = "usable", dim: int = 64) -> DataFrame:

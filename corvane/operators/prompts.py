@@ -1,16 +1,23 @@
 """Few-shot prompts as columns, and the model call as a pluggable column function.
 
 A prompt is a prefix, the samples in their order and the query; a sample list is an array of structs, so building a
-prompt is one expression in the JVM.
+prompt is one expression in the JVM. Only the samples' keys are shuffled: their texts, twenty times the input or more, are
+looked up last, by the tasks, in a table of the pool that is written once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from corvane.session import cut, parquet_rows
 
 STRATEGIES = ("most similar", "ids", "random")
 
@@ -81,10 +88,83 @@ def prompt(samples: Column | str, req: Column | str, headers: Column | str | Non
 
 def with_samples(neighbours: DataFrame, pool: DataFrame, sorting: str = "asc", seed: int = 0, answer: str = "f_prime", key: str = "id") -> DataFrame:
     """``id, samples``: each record's neighbours (id, other, rank) as an array of structs in the order asked for."""
+    return looked_up(_listed(neighbours, sorting, seed), pool, answer, key)
+
+
+def _listed(neighbours: DataFrame, sorting: str, seed: int) -> DataFrame:
+    """``id, others``: the keys of each record's neighbours in the order asked for."""
     rank = {"desc": -F.col("rank"), "random": F.xxhash64("id", "other", F.lit(seed))}.get(sorting, F.col("rank").cast("long"))
-    texts = pool.select(F.col(key).alias("other"), "req", "headers", F.col(answer).alias("answer"))
-    shown = neighbours.join(texts, "other").withColumn("_at", F.struct(rank.alias("r"), "other"))
-    return shown.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.struct("req", "headers", "answer").alias("s")))), lambda x: x.s).alias("samples"))
+    return neighbours.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "other"))), lambda x: x.other.cast("long")).alias("others"))
+
+
+def looked_up(rows: DataFrame, pool: DataFrame, answer: str = "f_prime", key: str = "id", refs: int = 1 << 17, most: int = 96 << 20) -> DataFrame:
+    """``rows`` with ``samples`` in place of ``others``: the pool's texts in the order of those keys; keys it lacks drop out.
+
+    The pool's texts are written once, sorted by key. A task takes rows until they have ``refs`` keys, reads that table once
+    for all of them and keeps what they name; rows that name more than ``most`` bytes are halved and read for separately.
+    """
+    texts = pool.select(F.col(key).cast("long").alias("other"), "req", "headers", F.col(answer).alias("answer")).where("other is not null")
+    order = ["other", "req", "headers", "answer"]
+    table = cut(texts.repartitionByRange("other").sortWithinPartitions(*order), "samples")
+    files = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("other").alias("first"), F.max("other").alias("last")).collect()
+    files = sorted(map(tuple, files), key=lambda f: f[1])
+    item = StructType([StructField(c, table.schema[c].dataType) for c in order[1:]])
+    shape = StructType([f for f in rows.schema if f.name != "others"] + [StructField("samples", ArrayType(item))])
+    to = to_arrow_schema(shape)
+    kind = to.field("samples").type
+
+    def named(keys: np.ndarray) -> tuple[pa.Table | None, int]:
+        """The rows of the table that ``keys`` (sorted, distinct) name, unless they are too large."""
+        got, size = [], 0
+        for path, first, last in files:
+            if not len(keys) or last < keys[0] or first > keys[-1]:
+                continue
+            for batch in parquet_rows(path, order, 4_096):
+                have = batch.column(0).to_numpy()
+                some = batch.filter(pa.array(keys[np.minimum(np.searchsorted(keys, have), len(keys) - 1)] == have))
+                if some.num_rows:
+                    got.append(some)
+                    size += some.get_total_buffer_size()
+                if size > most:
+                    return None, size
+        return pa.Table.from_batches(got) if got else None, 0
+
+    def filled(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = part.column("others").combine_chunks()
+        flat, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        found, over = named(np.unique(flat))
+        if over and part.num_rows > 1:
+            half = part.num_rows // 2
+            yield from filled(part.slice(0, half))
+            yield from filled(part.slice(half))
+            return
+        if over:  # one row's own samples, whatever their size
+            found = pa.Table.from_batches([b.filter(pa.array(np.isin(b.column(0).to_numpy(), flat))) for path, _, _ in files for b in parquet_rows(path, order, 4_096)])
+        have = found.column("other").to_numpy() if found else np.empty(0, np.int64)
+        structs = pa.StructArray.from_arrays([found.column(c).combine_chunks() if found else pa.array([], f.type) for c, f in zip(order[1:], kind.value_type)], fields=list(kind.value_type))
+        start = np.searchsorted(have, flat, "left")
+        many = np.searchsorted(have, flat, "right") - start
+        at = np.repeat(start - np.r_[0, np.cumsum(many)[:-1]] if len(many) else start, many) + np.arange(many.sum())
+        ends = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(n)]]
+        rest = part.drop_columns(["others"]).combine_chunks()
+        for a in range(0, part.num_rows, 256):
+            b = min(a + 256, part.num_rows)
+            values = structs.take(pa.array(at[ends[a] : ends[b]]))
+            samples = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), values).cast(kind)
+            yield from (pa.RecordBatch.from_arrays([*x.columns, samples], names=to.names) for x in rest.slice(a, b - a).combine_chunks().to_batches())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column("others").flatten()) if batch.num_rows else 0
+            if n >= refs:
+                yield from filled(pa.Table.from_batches(held))
+                held, n = [], 0
+        if sum(b.num_rows for b in held):
+            yield from filled(pa.Table.from_batches(held))
+
+    return rows.select(*(f.name for f in rows.schema if f.name != "others"), "others").mapInArrow(run, shape)
 
 
 def fixed_samples(pool: DataFrame, strategy: str, ids: list[int] | None = None, n: int = 0, seed: int = 0, answer: str = "f_prime", key: str = "id") -> DataFrame:
@@ -118,9 +198,8 @@ def generated(
     if strategy == "most similar":
         if neighbours is None:
             raise ValueError("'most similar' needs neighbours")
-        own = with_samples(neighbours, pool, "asc" if style.endswith("chat") else sorting, seed, answer, key)
-        none = F.array().cast("array<struct<req:string,headers:string,answer:string>>")
-        shown = shown.join(own.select(F.col("id").alias(key), "samples"), key, "left").withColumn("samples", F.coalesce("samples", none))
+        own = _listed(neighbours, "asc" if style.endswith("chat") else sorting, seed)
+        shown = looked_up(shown.join(own.select(F.col("id").alias(key), "others"), key, "left"), pool, answer, key)
     else:
         shown = shown.withColumn("samples", fixed_samples(pool, strategy, ids, n, seed, answer).scalar())
     return shown.select(key, prompt("samples", "req", "headers" if headers else None, style).alias("prompt"))

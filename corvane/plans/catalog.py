@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import distances, formula, graph
 from corvane.operators import clusters, measures, nearest, prompts, records, rejects, reports, sampling, series, stats
 from corvane.plans import sql
-from corvane.session import load
+from corvane.session import cut, load
 from corvane.sources import flatfile
 from corvane.streaming import pool
 
@@ -305,18 +305,15 @@ def _none(c: str) -> str:
     f"SELECT e.id, {_quoted(prompts.FORMULA_PREFIX)} || coalesce(t, '') || 'Input: ' || {_none('g.req')} || chr(10) || 'Headers: ' || {_none('g.headers')} || chr(10) || 'Output:' AS prompt FROM e JOIN gold g ON g.pos = e.id LEFT JOIN s ON s.id = e.id"
 )
 def fewshot_prompts(spark: SparkSession, d: str) -> DataFrame:
-    embedded = _embedded(spark, d)
-    gold = load(spark, d, "gold").select(F.col("pos").alias("id"), "req", "headers", "f_prime")
-    samples = prompts.with_samples(nearest.few_shot(embedded, N_SAMPLES), gold, "desc")
-    asked = embedded.select("id").join(gold, "id").join(samples, "id", "left")
-    none = F.array().cast("array<struct<req:string,headers:string,answer:string>>")
-    return asked.select("id", prompts.prompt(F.coalesce("samples", none), "req", "headers").alias("prompt"))
+    return _similar(spark, d, sorting="desc")
 
 
 def _similar(spark: SparkSession, d: str, **how) -> DataFrame:
+    """Prompts of the records with a vector; samples come from among them."""
     embedded = _embedded(spark, d)
     gold = load(spark, d, "gold").select(F.col("pos").alias("id"), "req", "headers", "f_prime")
-    return prompts.generated(embedded.select("id").join(gold, "id"), gold, "most similar", neighbours=nearest.few_shot(embedded, N_SAMPLES), **how)
+    asked = cut(embedded.select("id").join(gold, "id"), "asked")
+    return prompts.generated(asked, asked, "most similar", neighbours=nearest.few_shot(embedded, N_SAMPLES), **how)
 
 
 @query(

@@ -120,6 +120,26 @@ def test_prompts(spark):
         prompts.fixed_samples(pool, "nearest")
 
 
+def test_samples_texts_are_looked_up_not_shuffled(spark, capsys):
+    rows = [(i, f"r{i}" * 50, None if i % 7 == 0 else f"h{i}", None if i % 5 == 0 else f"A{i}") for i in range(300)]
+    pool = spark.createDataFrame([*rows, (3, "again", "h", "B")], "id long, req string, headers string, f_prime string")
+    near = spark.createDataFrame([(i, (i * 31 + j) % 320, j + 1) for i in range(200) for j in range(6)], "id long, other long, rank int").repartition(4)
+    with_samples = prompts.with_samples(near, pool)
+    with_samples.explain()
+    assert "Exchange hashpartitioning(other" not in (plan := capsys.readouterr().out) and "Join" not in plan
+    by_key = {}
+    for key, *text in sorted([*rows, (3, "again", "h", "B")], key=lambda r: (r[0], r[1])):
+        by_key.setdefault(key, []).append(tuple(text))
+    want = {i: [t for j in range(6) for t in by_key.get((i * 31 + j) % 320, [])] for i in range(200)}
+    lists = prompts._listed(near, "asc", 0)
+    for got in (with_samples, prompts.looked_up(lists, pool, refs=50), prompts.looked_up(lists, pool, most=1_000)):
+        assert {r.id: [tuple(s) for s in r.samples] for r in got.collect()} == want
+    shown = prompts.generated(pool.where("id > 150 and id < 250"), pool, "most similar", "formula chat", neighbours=near)
+    got = {r.id: r.prompt for r in shown.collect()}
+    assert len(got) == 99 and got[240] == prompts.FORMULA_CHAT_PREFIX + prompts.FORMULA_CHAT_SUFFIX + "r240" * 50
+    assert got[151].startswith(prompts.FORMULA_CHAT_PREFIX + "".join(f"{r}:{'None' if a is None else a}, " for r, _, a in want[151]))
+
+
 def test_answers_are_retried(spark):
     def responder(batch):
         return [["", ""] if len(p) == 1 else ["A ", "⊑ B"] for p in batch]
