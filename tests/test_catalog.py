@@ -40,6 +40,15 @@ def test_query_equals_its_sql(spark, con, name):
     assert rows([r[c] for c in cols] for r in df.collect()) == theirs
 
 
+@pytest.mark.parametrize("name", ["concept_chat_prompts"])
+def test_chat_prompts_shuffle_keys_only(spark, name, capsys):
+    catalog.QUERIES[name](spark, str(SF)).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and "CoGroup" not in plan  # no row is sent to every block
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert lists and not any("req" in line or "f_prime" in line or "answer" in line for line in lists)  # no sample's text is in a list that is shuffled
+
+
 def value(con, statement):
     return con.execute(statement).fetchone()[0]
 
