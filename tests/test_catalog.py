@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, con, name):
     assert rows([r[c] for c in cols] for r in df.collect()) == theirs
 
 
-@pytest.mark.parametrize("name", ["concept_chat_prompts"])
+@pytest.mark.parametrize("name", ["concept_chat_prompts", "similar_chat_prompts"])
 def test_chat_prompts_shuffle_keys_only(spark, name, capsys):
     catalog.QUERIES[name](spark, str(SF)).explain()
     plan = capsys.readouterr().out
